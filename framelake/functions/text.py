@@ -68,3 +68,21 @@ def corners(points: Column) -> Column:
 def score_text(score: Column) -> Column:
     """A score as the first five characters of its six-digit form."""
     return F.substring(F.format_string("%.6f", score.cast("double")), 1, 5)
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number of at least zero with this many decimals (three at most), as C prints
+    it: the exact binary value decides, and an exact half goes to the even digit."""
+    v = value.cast("double")
+    whole = F.floor(v)
+    scaled = (v - whole) * 2.0**60
+    bits = F.floor(scaled).cast("decimal(20,0)")
+    unit = F.lit(1 << 60).cast("decimal(20,0)")
+    grown = bits * F.lit(10**places).cast("decimal(4,0)")
+    digits = F.floor(grown / unit)
+    # The quotient of decimals is rounded itself, so the remainder corrects it.
+    digits = F.when(digits.cast("decimal(5,0)") * unit > grown, digits - 1).otherwise(digits).cast("long")
+    rest = (grown - digits.cast("decimal(5,0)") * unit) * 2
+    up = (rest > unit) | ((rest == unit) & ((scaled != F.floor(scaled)) | (digits % 2 == 1)))
+    total = whole * 10**places + digits + up.cast("long")
+    return F.concat(F.floor(total / 10**places).cast("string"), F.lit("."), F.lpad((total % 10**places).cast("string"), places, "0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import confidence, corners, score_text
+from ..functions.text import confidence, corners, fixed, score_text
 
 
 def results(readings: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def results(readings: DataFrame) -> DataFrame:
 
 def piece_lines(pieces: DataFrame) -> DataFrame:
     """Report lines: index, score, text and corners of each piece."""
-    line: Column = F.format_string('    [%2d] score=%.3f text="%s"  box=%s', "seq", "score", "text", corners(F.col("box")))
+    line: Column = F.format_string('    [%2d] score=%s text="%s"  box=%s', F.col("seq"), fixed(F.col("score"), 3), F.col("text"), corners(F.col("box")))
     return pieces.withColumn("line", line)
 
 
@@ -26,8 +26,8 @@ def reads_table(scored: DataFrame) -> DataFrame:
     """Scored reads as printed rows: milliseconds with one digit, yes or no, rate
     with two."""
     yes = F.when(F.col("match"), "yes").otherwise("no")
-    fixed = {"ms": F.format_string("%.1f", "ms"), "match": yes, "cer": F.format_string("%.2f", "cer")}
-    return scored.withColumns({k: v for k, v in fixed.items() if k in scored.columns})
+    shown = {"ms": fixed(F.col("ms"), 1), "match": yes, "cer": fixed(F.col("cer"), 2)}
+    return scored.withColumns({k: v for k, v in shown.items() if k in scored.columns})
 
 
 def pieces_table(pieces: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def pieces_table(pieces: DataFrame) -> DataFrame:
 
 def summary_table(tallies: DataFrame, keys: list[str]) -> DataFrame:
     """Tallies as printed: matched of all, mean rate and mean time, by key."""
-    shown = tallies.select(*keys, F.concat_ws("/", F.col("matched").cast("string"), F.col("n").cast("string")).alias("matched"), F.format_string("%.3f", "mean_cer").alias("mean_cer"), F.format_string("%.1f", "mean_ms").alias("mean_ms"))
+    shown = tallies.select(*keys, F.concat_ws("/", F.col("matched").cast("string"), F.col("n").cast("string")).alias("matched"), fixed(F.col("mean_cer"), 3).alias("mean_cer"), fixed(F.col("mean_ms"), 1).alias("mean_ms"))
     return shown.orderBy(*keys)
 
 
