@@ -158,6 +158,9 @@ def _text(page, url="http://a.example/x"):
         ("<p>s<span class='share'>no</span>t</p>", ["s", "t"]),
         ("<div>" * 3000 + "deep" + "</div>" * 10, ["deep"]),
         ("<article><p title='a > b'>q</p></article>", ["q"]),
+        ("<p class=it's>one</p><p title=\"two>three</p>", ["one", "three"]),
+        ("<div class='with-sidebar'><article><div class='article-header'>H</div><p>a</p></article><div class=sidebar>no</div></div>", ["H", "a"]),
+        ("<div id=page class=sidebar-left><h1>T</h1><p>long enough a text to be most of the page</p><div class=sidebar>no</div></div>", ["T", "long enough a text to be most of the page"]),
     ],
 )
 def test_rules(page, want):
