@@ -16,6 +16,7 @@ search never permutes equals.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import zlib
 from collections import Counter, defaultdict
@@ -34,6 +35,7 @@ END = 2
 #: Pieces in a group: what one task packs at once. Each group may leave one
 #: sequence unfilled, so larger groups waste less.
 GROUP_PIECES = 1 << 14
+MOST_TASKS = 20_000
 #: Branches that the search of one group may open before its incumbent stands.
 NODES = 4000
 #: Fillings that one branch keeps, least waste first.
@@ -133,53 +135,40 @@ def best_fit(stock: Counter, room: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], stock: list[int], room: int, width: int) -> list[tuple[int, ...]]:
+def fillings(sizes: list[int], stock: list[int], room: int, width: int, tries: int = 24) -> list[tuple[int, ...]]:
     """Undominated fillings of `room` from sizes (descending) with stock.
 
-    Of one, two or three lengths, each extended greedily by the largest that
-    still fits until none does. A filling dominated by another of those kept
-    (Martello and Toth: its lengths fit into the other's) is dropped; the least
-    waste comes first, then the fewest and largest lengths.
+    A first length, of the largest that fit and of some spread over the rest, is
+    followed by every length again and again that is the largest to fit; a first
+    one whose exact partner is in stock leaves no waste. A filling dominated by
+    another of those kept (Martello and Toth: its lengths fit into the other's) is
+    dropped; the least waste comes first, then the fewest and largest lengths.
     """
-    live = [i for i, s in enumerate(sizes) if stock[i] and s <= room]
+    live = [s for s, n in zip(sizes, stock, strict=True) if n and s <= room]
     if not live:
         return [()]
-    smallest = sizes[live[-1]]
-    values = np.array([sizes[i] for i in live])
+    count = {s: n for s, n in zip(sizes, stock, strict=True) if n}
+    rising = live[::-1]
+    smallest = rising[0]
     found: dict[tuple[int, ...], int] = {}
 
-    def largest(limit: int, used: tuple[int, ...]) -> int | None:
-        """The largest length up to limit of which some is left."""
-        k = int(np.searchsorted(-values, -limit))
-        while k < len(live):
-            s = int(values[k])
-            if stock[live[k]] > used.count(s):
-                return s
-            k += 1
-        return None
-
-    def extend(used: tuple[int, ...]) -> None:
-        left = room - sum(used)
-        while left >= smallest and (s := largest(left, used)) is not None:
-            used, left = (*used, s), left - s
+    def extend(used: list[int], left: int) -> None:
+        while left >= smallest:
+            k = bisect.bisect_right(rising, left) - 1
+            while k >= 0 and (rising[k] in used and used.count(rising[k]) >= count[rising[k]]):
+                k -= 1
+            if k < 0:
+                break
+            used.append(rising[k])
+            left -= rising[k]
         found.setdefault(tuple(sorted(used, reverse=True)), left)
 
-    extend(())
-    for k in range(min(len(live), 24)):  # the largest first length; what is left fits best
-        first = int(values[k])
-        extend((first,))
-        gap = room - first
-        # A pair that closes the gap exactly, found by the complement.
-        for j in range(k, min(len(live), k + 24)):
-            second = int(values[j])
-            if second <= gap and stock[live[j]] > (second == first):
-                extend((first, second))
-        if min(found.values()) == 0 and len(found) >= 4 * width:
-            break
-    # One length in the middle of the range leaves exact partners that the largest misses.
-    step = max(1, len(live) // 32)
-    for k in range(0, len(live), step):
-        extend((int(values[k]),))
+    firsts = dict.fromkeys([*live[:tries], *live[tries :: max(1, len(live) // tries)]])
+    for first in firsts:
+        extend([first], room - first)
+    exact = [s for s in live if 2 * s >= room and (room - s in count) and (room != 2 * s or count[s] > 1)]
+    for first in exact[:width]:
+        found.setdefault((first, room - first), 0)
     kept: list[tuple[int, ...]] = []
     for f in sorted(found, key=lambda f: (found[f], len(f), tuple(-s for s in f))):
         if not any(dominates(g, f) for g in kept):
@@ -239,7 +228,8 @@ def complete(stock: Counter, room: int, nodes: int = NODES, width: int = WIDTH)
             left[where[s]] -= sign
 
     while True:
-        head = next((i for i, n in enumerate(left) if n), None)
+        lead = path[-1][0] if path else 0  # no length before the last head is left
+        head = next((i for i in range(lead, len(left)) if left[i]), None)
         if head is None:  # a whole solution within the bound
             incumbent = [[sizes[h], *f] for h, f, _, _ in path]
             if len(incumbent) <= bound:
@@ -296,6 +286,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, i
     whole = cut.filter(F.col("length") == length).select("id", "piece", "start", "length", "ids_crc32", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = cut.filter(F.col("length") < length)
     groups = max(1, -(-part.count() // group))
+    tasks = min(groups, MOST_TASKS)
     serial = 1 << 32
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -304,6 +295,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, i
         return pd.DataFrame({"uid": pdf["uid"], "sequence_id": pdf["deal"].to_numpy(dtype=np.int64) * serial + bins, "offset": offsets})
 
     dealt = part.select(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("deal"), "uid", "length")
-    placed = dealt.groupBy("deal").applyInPandas(run, "uid long, sequence_id long, offset long")
+    # A group is little data and much work: groups get tasks of their own, which
+    # adaptive execution would otherwise merge by their bytes.
+    placed = dealt.repartition(tasks, "deal").groupBy("deal").applyInPandas(run, "uid long, sequence_id long, offset long")
     rest = part.join(placed, "uid").select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     return whole.unionByName(rest)
