@@ -6,6 +6,7 @@ pixels are neither shuffled nor repeated per tile.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,35 +75,38 @@ def frame_quads(img: np.ndarray, detector: Detector, config: ReadConfig = DEFAUL
 
 
 def detect(frames: DataFrame, detector: Detector, config: ReadConfig = DEFAULT) -> DataFrame:
-    """Add `boxes`, an array of (y, x, id, box, score) in the order of detection. The
-    frames' other columns, pixels too, pass through."""
+    """Add `boxes`, an array of (y, x, id, box, score) in the order of detection, and
+    det_ms, the time that took. The frames' other columns, pixels too, pass through."""
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, took = [], []
             for r in range(b.num_rows):
                 get = lambda n: b.column(names.index(n))[r].as_py()  # noqa: B023, E731
                 img = im.frame_view(get("bgr"), get("width"), get("height"), get("stride"))
+                start = time.perf_counter()
                 quads = frame_quads(img, detector, config)
+                took.append(1000 * (time.perf_counter() - start))
                 found.append([{"y": float(q[0, 1]), "x": float(q[0, 0]), "id": i, "box": [{"x": float(x), "y": float(y)} for x, y in q], "score": s} for i, (q, s) in enumerate(quads)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_BOX))], names=[*names, "boxes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_BOX)), pa.array(took, pa.float64())], names=[*names, "boxes", "det_ms"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.mapInArrow(run, f"{schema}, boxes array<{BOX}>")
+    return frames.mapInArrow(run, f"{schema}, boxes array<{BOX}>, det_ms double")
 
 
 def recognise(frames: DataFrame, recogniser, config: ReadConfig = DEFAULT) -> DataFrame:  # noqa: ANN001
     """Suppress covered quads of `boxes`, crop the rest and read them: pixels go,
-    `reads` comes, an array of (seq, box, steps). A frame without boxes is read as
-    one box that spans it."""
+    `reads` comes, an array of (seq, box, steps), with rec_ms, the time of
+    recognition alone, and n_crops. A frame without boxes is read as one box that
+    spans it."""
     names = frames.columns
     kept = [n for n in names if n not in ("bgr", "boxes")]
     read = pa.struct([("seq", pa.int32()), ("box", pa.list_(POINT)), ("steps", pa.list_(pa.list_(pa.float32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reads = []
+            reads, took, crops_of = [], [], []
             for r in range(b.num_rows):
                 get = lambda n: b.column(names.index(n))[r].as_py()  # noqa: B023, E731
                 img = im.frame_view(get("bgr"), get("width"), get("height"), get("stride"))
@@ -113,9 +117,12 @@ def recognise(frames: DataFrame, recogniser, config: ReadConfig = DEFAULT) -> Da
                 else:
                     h, w = img.shape[:2]
                     quads, crops = [np.array([[0, 0], [w, 0], [w, h], [0, h]], float)], [img]
+                start = time.perf_counter()
                 steps = recogniser([im.letterbox(c, config.rec_width, config.rec_height) if c.size else np.zeros((config.rec_height, config.rec_width, 3), np.float32) for c in crops])
+                took.append(1000 * (time.perf_counter() - start))
+                crops_of.append(len(crops))
                 reads.append([{"seq": k, "box": [{"x": float(x), "y": float(y)} for x, y in q], "steps": s.tolist()} for k, (q, s) in enumerate(zip(quads, steps, strict=True))])
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(reads, pa.list_(read))], names=[*kept, "reads"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(reads, pa.list_(read)), pa.array(took, pa.float64()), pa.array(crops_of, pa.int32())], names=[*kept, "reads", "rec_ms", "n_crops"])
 
     schema = ", ".join(f"`{n}` {frames.schema[n].dataType.simpleString()}" for n in kept)
-    return frames.mapInArrow(run, f"{schema}, reads array<struct<seq:int,box:array<struct<x:double,y:double>>,steps:array<array<float>>>>")
+    return frames.mapInArrow(run, f"{schema}, reads array<struct<seq:int,box:array<struct<x:double,y:double>>,steps:array<array<float>>>>, rec_ms double, n_crops int")

@@ -316,3 +316,47 @@ def suppress(quads: list[np.ndarray], threshold: float) -> list[int]:
         if not any(iom(quads[i], quads[k]) > threshold for k in meets):
             kept.append(i)
     return sorted(kept)
+
+
+# --- preparation for other engines ----------------------------------------------
+
+
+def brighten(img: np.ndarray, by: int) -> np.ndarray:
+    return np.minimum(img.astype(np.int16) + by, 255).astype(np.uint8)
+
+
+def _around(img: np.ndarray) -> np.ndarray:
+    """Each pixel's 3 x 3 neighbourhood, edges repeated, as a first axis of nine."""
+    p = np.pad(img, ((1, 1), (1, 1), *[(0, 0)] * (img.ndim - 2)), mode="edge")
+    h, w = img.shape[:2]
+    return np.stack([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
+
+
+def sharpen(img: np.ndarray, amount: float) -> np.ndarray:
+    """Away from the mean of the neighbourhood."""
+    wide = img.astype(np.float64)
+    return np.clip(np.rint(wide + amount * (wide - _around(wide).mean(axis=0))), 0, 255).astype(np.uint8)
+
+
+def greyscale(img: np.ndarray) -> np.ndarray:
+    """Luma of BGR pixels, in all three channels."""
+    luma = np.rint(img.astype(np.float64) @ (0.114, 0.587, 0.299)).astype(np.uint8)
+    return np.repeat(luma[..., None], 3, axis=2)
+
+
+def remove_noise(img: np.ndarray) -> np.ndarray:
+    """The median of the neighbourhood."""
+    return np.median(_around(img), axis=0).astype(np.uint8)
+
+
+def prepare(img: np.ndarray, enlarge: int = 1, filters: bool = False, amount: float = 0.85) -> np.ndarray:
+    """A crop as another engine gets it: enlarged, then, with filters, brightened so
+    that its brightest value before is the highest, sharpened, grey, without noise."""
+    brightest = int(img.max()) if img.size else 255
+    if enlarge > 1:
+        img = resize(img, img.shape[1] * enlarge, img.shape[0] * enlarge)
+    if filters:
+        if brightest < 255:
+            img = brighten(img, 255 - brightest)
+        img = remove_noise(greyscale(sharpen(img, amount)))
+    return img

@@ -26,7 +26,8 @@ from ..operators.models import Detector, Recogniser
 def pieces(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
     """Frames (width, height, stride, bgr, ...) without pixels, with `pieces`, an
     array of (seq, text, score, box): detection, reading order, size filter,
-    suppression, recognition, decoding and the score filter, in this order."""
+    suppression, recognition, decoding and the score filter, in this order. det_ms,
+    rec_ms and n_crops say what the models took."""
     found = detect(frames, detector, config).withColumn("boxes", in_reading_order(F.col("boxes"), config.row_tolerance))
     sized = found.withColumn("boxes", F.filter("boxes", lambda b: (edge_height(b["box"]) >= config.min_height) & (edge_width(b["box"]) >= config.min_width)))
     read = recognise(sized, recogniser, config)
@@ -63,9 +64,9 @@ def read_frames(frames: DataFrame, detector: Detector, recogniser: Recogniser, l
     return _readings(found.withColumn("pieces", _within(zero, zero, F.col("width"), F.col("height"))))
 
 
-def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig = DEFAULT) -> DataFrame:
-    """Each region as a frame of its own: cut with its margin, padded on the right
-    and below to the detector's input. Regions (frame_id, region_id, x, y, width,
+def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig = DEFAULT, padded: bool = True) -> DataFrame:
+    """Each region as a frame of its own: cut with its margin and, if `padded`, padded
+    on the right and below to the detector's input. Regions (frame_id, region_id, x, y, width,
     height) meet their frame as one array, so its pixels are read once; a region
     outside its frame, or without a frame, gives no row."""
     listed = regions.groupBy("frame_id").agg(F.collect_list(F.struct("region_id", F.col("x").alias("x"), F.col("y").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))).alias("regions"))
@@ -83,7 +84,8 @@ def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig =
                         continue
                     x0, y0 = max(x - config.margin, 0), max(y - config.margin, 0)
                     x1, y1 = min(x + w + config.margin, img.shape[1]), min(y + h + config.margin, img.shape[0])
-                    canvas = np.ascontiguousarray(im.pad_to(img[y0:y1, x0:x1], config.det_width, config.det_height))
+                    cut = img[y0:y1, x0:x1]
+                    canvas = np.ascontiguousarray(im.pad_to(cut, config.det_width, config.det_height) if padded else cut)
                     out.append((row["frame_id"], r["region_id"], x0, y0, x - x0, y - y0, w, h, canvas.shape[1], canvas.shape[0], 3 * canvas.shape[1], canvas.tobytes()))
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
                 types = [pa.string(), pa.string(), *[pa.int32()] * 9, pa.binary()]
@@ -92,12 +94,18 @@ def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig =
     return both.mapInArrow(run, "frame_id string, region_id string, dx int, dy int, x int, y int, w int, h int, width int, height int, stride int, bgr binary")
 
 
-def read_regions(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
-    """The reading of each region: of its canvas, the pieces centred in the region,
-    their boxes in frame coordinates. A region without such a piece reads as empty
-    with score 0."""
-    found = pieces(region_canvases(frames, regions, config), detector, recogniser, listed, config)
+def read_canvases(canvases: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
+    """The reading of each canvas: the pieces centred in its region, their boxes in
+    frame coordinates, with what the models took."""
+    found = pieces(canvases, detector, recogniser, listed, config)
     kept = found.withColumn("pieces", _within(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
     placed = F.transform("pieces", lambda p: F.struct(p["seq"].alias("seq"), p["text"].alias("text"), p["score"].alias("score"), shift(p["box"], F.col("dx"), F.col("dy")).alias("box")))
     named = _readings(kept.withColumn("_placed", placed))
-    return named.select("frame_id", "region_id", "text", "score", F.col("_placed").alias("pieces"))
+    return named.withColumn("pieces", F.col("_placed")).drop("_placed", "dx", "dy", "x", "y", "w", "h", "width", "height", "stride")
+
+
+def read_regions(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
+    """The reading of each region: of its padded canvas, the pieces centred in the
+    region. A region without such a piece reads as empty with score 0."""
+    read = read_canvases(region_canvases(frames, regions, config), detector, recogniser, listed, config)
+    return read.select("frame_id", "region_id", "text", "score", "pieces")
