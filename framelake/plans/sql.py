@@ -147,7 +147,8 @@ SELECT frame_id, box_id, CAST(CASE WHEN box_id % 17 = 0 OR fw <= 0 OR fh <= 0 OR
     "tile_grid": f"""WITH {_SPANS}
 SELECT size_id, width, height, 0 AS tile, 0 AS x, 0 AS y, width AS w, height AS h FROM s
 UNION ALL
-SELECT size_id, width, height, 1 + j * nx + i, CASE WHEN i = nx - 1 THEN width - w ELSE i * (w - 256) END, CASE WHEN j = ny - 1 THEN height - h ELSE j * (h - 256) END, w, h
+SELECT size_id, width, height, CAST(1 + j * nx + i AS INTEGER), CAST(CASE WHEN i = nx - 1 THEN width - w ELSE i * (w - 256) END AS INTEGER),
+       CAST(CASE WHEN j = ny - 1 THEN height - h ELSE j * (h - 256) END AS INTEGER), w, h
 FROM (SELECT *, unnest(range(0, nx)) AS i FROM (SELECT *, unnest(range(0, ny)) AS j FROM s WHERE nx > 1 OR ny > 1))""",
     "region_windows": f"""WITH {BOX}, o AS (
   SELECT *, greatest(x0 - 8, 0) AS ox, greatest(y0 - 8, 0) AS oy, least(x1 + 8, 960) AS ex, least(y1 + 8, 720) AS ey FROM b
