@@ -219,21 +219,29 @@ def decode(data: bytes) -> Gif:
             raise GifError("a code size out of range")
         stream, at = _blocks(data, at + 1)
         index = np.frombuffer(lzw_decode(stream, size, w * h), dtype=np.uint8)
-        drawn = np.arange(w * h) < len(index)  # a stream cut short draws what it holds
-        index = np.concatenate((index, np.zeros(w * h - len(index), dtype=np.uint8)))
-        shown = drawn if hidden is None else drawn & (index != hidden)
+        shown = None  # everywhere
+        if len(index) < w * h:  # a stream cut short draws what it holds
+            shown = np.arange(w * h) < len(index)
+            index = np.concatenate((index, np.zeros(w * h - len(index), dtype=np.uint8)))
+        if hidden is not None:
+            shown = index != hidden if shown is None else shown & (index != hidden)
         colours = np.zeros((256, 4), dtype=np.uint8)
         colours[:, 3] = 255
         rgb = np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)
         colours[: len(rgb), :3] = rgb
-        image, shown = colours[index].reshape(h, w, 4), shown.reshape(h, w)
+        image = colours[index].reshape(h, w, 4)
+        shown = shown if shown is None else shown.reshape(h, w)
         if packed & 0x40:
             order = _interlaced(h)
-            image, shown = _placed(image, order), _placed(shown, order)
+            image, shown = _placed(image, order), shown if shown is None else _placed(shown, order)
         before = canvas.copy() if disposal == 3 else None
         part = canvas[top : top + h, left : left + w]
-        inside = shown[: part.shape[0], : part.shape[1]]
-        part[inside] = image[: part.shape[0], : part.shape[1]][inside]
+        image = image[: part.shape[0], : part.shape[1]]
+        if shown is None:
+            part[:] = image
+        else:
+            inside = shown[: part.shape[0], : part.shape[1]]
+            part[inside] = image[inside]
         gif.frames.append(Frame(canvas.copy(), delay, (left, top, w, h)))
         if disposal == 2:
             part[:] = 0
@@ -282,8 +290,10 @@ def histogram(frame: Frame, bins: int = 4) -> list[int]:
     """Opaque pixels by colour, `bins` levels a channel."""
     left, top, w, h = frame.box
     p = frame.pixels[top : top + h, left : left + w].reshape(-1, 4)
-    p = p[p[:, 3] > 0].astype(np.int64) * bins // 256
-    return np.bincount((p[:, 0] * bins + p[:, 1]) * bins + p[:, 2], minlength=bins**3).tolist()
+    level = (np.arange(256) * bins // 256).astype(np.int32)
+    place = level[p[:, 0]] * bins**2 + level[p[:, 1]] * bins + level[p[:, 2]]
+    solid = p[:, 3] > 0
+    return np.bincount(place if solid.all() else place[solid], minlength=bins**3).tolist()
 
 
 _MEDIA = "n_bytes long, gif binary, width int, height int, frames array<struct<delay_ms:int,left:int,top:int,width:int,height:int,histogram:array<int>>>, payload binary"
