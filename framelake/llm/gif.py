@@ -8,9 +8,7 @@ indexed frames with a real LZW table. One pass over the rows, no shuffle.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, text_of, written
+from .shared import SPACE, WORD, free_name, text_of, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -154,8 +154,6 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """The mix as documents: docs' columns, one row for each whole copy and one for
     each partial one, whose text is the words that the mix takes of it with the
     white space after each. A column `n_chars` follows its text."""
-    from .shared import free_name
-
     uid = free_name(docs, "uid")
     marked = docs.withColumn(uid, F.monotonically_increasing_id())
     shares = mix(marked, text_col=text_col, uid=uid, **options).filter("taken > 0").select("uid", "size", "whole", "first", "first_n", "second_n")

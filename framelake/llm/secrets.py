@@ -12,7 +12,6 @@ One pass over the rows, no shuffle; a text is scanned whole.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -160,10 +159,6 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{i}:{j}" for i, j, k in spans)
-
-
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every secret of every document.
 
@@ -185,8 +180,3 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, spans array<struct<start:int,end:int,kind:string,cost:double>>")
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    """The SHA-256 of the joined base spans."""
-    return hashlib.sha256(joined([s for s in spans if s[2] != "guess"]).encode()).hexdigest()
