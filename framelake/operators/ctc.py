@@ -24,15 +24,16 @@ def decode_array(steps: Column, listed: Column) -> Column:
     return F.struct(text.alias("text"), score.alias("score"))
 
 
-def decode(logits: DataFrame, crop: str, listed: DataFrame, n_classes: int) -> DataFrame:
+def decode(logits: DataFrame, crop: str, listed: Column) -> DataFrame:
     """The same from long rows (crop, t, c, p): one row per crop with text and score.
 
-    listed is the character table (idx, ch), as long as a recogniser has classes.
+    Classes shrink to one row a step before the first shuffle; the run filter and the
+    crop's text share the second one. The character list is a literal: it is as long
+    as a recogniser has classes.
     """
     steps = logits.groupBy(crop, "t").agg(F.max(F.struct(F.col("p"), (-F.col("c")).alias("c"))).alias("best"))
     steps = steps.select(crop, "t", (-F.col("best.c")).alias("idx"), F.col("best.p").alias("p"))
     before = F.lag("idx").over(Window.partitionBy(crop).orderBy("t"))
-    steps = steps.withColumn("kept", F.coalesce(before != F.col("idx"), F.lit(True)) & (F.col("idx") > 0) & (F.col("idx") < n_classes))
-    named = steps.join(listed, "idx", "left")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("t", "ch")))), lambda s: s["ch"]), "")
-    return named.groupBy(crop).agg(said.alias("text"), F.coalesce(F.avg(F.when(F.col("kept"), F.col("p"))), F.lit(0.0)).alias("score"))
+    steps = steps.withColumn("kept", F.coalesce(before != F.col("idx"), F.lit(True)) & (F.col("idx") > 0) & (F.col("idx") < F.size(listed)))
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("t", "idx")))), lambda s: F.element_at(listed, s["idx"] + 1))
+    return steps.groupBy(crop).agg(F.array_join(said, "").alias("text"), F.coalesce(F.avg(F.when(F.col("kept"), F.col("p"))), F.lit(0.0)).alias("score"))

@@ -83,8 +83,9 @@ def usage(proc_delta: Column, sys_delta: Column, cores: Column) -> Column:
 
 def sweep_grid(spark: SparkSession, images: list[str], det: list[float], box: list[float], unclip: list[float]) -> DataFrame:
     """Every combination of an image and the swept values, numbered in run order."""
-    col = lambda name, values: spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])).alias(f"_{name}", name))
-    grid = col("image", images).crossJoin(col("det_thresh", det)).crossJoin(col("box_thresh", box)).crossJoin(col("unclip_ratio", unclip))
+    grid = spark.range(1)
+    for name, values in (("image", images), ("det_thresh", det), ("box_thresh", box), ("unclip_ratio", unclip)):
+        grid = grid.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias(f"_{name}", name))
     place = ((F.col("_image") * len(det) + F.col("_det_thresh")) * len(box) + F.col("_box_thresh")) * len(unclip) + F.col("_unclip_ratio")
     return grid.select((place + 1).cast("long").alias("run"), "image", "det_thresh", "box_thresh", "unclip_ratio")
 

@@ -172,8 +172,7 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ctc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(list(enumerate(views.ALPHABET)), "idx int, ch string")
-    return _round(ctc.decode(views.logits(spark, sf_dir), "crop_id", listed, len(views.ALPHABET)), 4)
+    return _round(ctc.decode(views.logits(spark, sf_dir), "crop_id", literal(list(views.ALPHABET))), 4)
 
 
 def ctc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +242,7 @@ def process_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parameter grid over the nations' names as images."""
+    """The whole parameter grid, 180 runs."""
     names = [f"{r}_1024x768.bgr888" for r in ("alarm", "auto_1", "auto_2", "normal", "full")]
     return evaluate.sweep_grid(spark, names, [0.2, 0.3, 0.4], [0.3, 0.4, 0.5, 0.6], [1.0, 1.5, 2.0])
 
