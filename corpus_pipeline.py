@@ -7,12 +7,15 @@ return the columns of `documents`, whatever they are.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import exact_dedup, mixing, packing, quality, simhash
 from framelake.llm.queries import vocabulary
 from framelake.llm.shared import free_name, table, written
+from framelake.session import ship
 
 #: SQL has neither the hash of the fingerprints nor the vocabulary's merges.
 ORACLE_SQL = None
@@ -31,7 +34,9 @@ def _without(docs: DataFrame, settle) -> DataFrame:  # noqa: ANN001
     """docs without the rows that settle(docs, uid) lists by uid."""
     uid = free_name(docs, "uid")
     marked = docs.withColumn(uid, F.monotonically_increasing_id())
-    gone = settle(marked, uid).select(F.col("uid").alias(uid))
+    # Written first, so that its size is known when the join is planned: a list below
+    # Spark's broadcast threshold leaves the texts where they are.
+    gone = written(settle(marked, uid).select(F.col("uid").alias(uid)), "gone")
     return marked.join(gone, uid, "left_anti").select(*docs.columns)
 
 
@@ -55,12 +60,21 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, *vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def _shipped(stage):  # noqa: ANN001, ANN202
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", quality_filter),
-    ("exact_dedup", exact_duplicates),
-    ("near_dedup", near_duplicates),
-    ("source_mix", source_mix),
-    ("packing", packed),
+    ("quality", _shipped(quality_filter)),
+    ("exact_dedup", _shipped(exact_duplicates)),
+    ("near_dedup", _shipped(near_duplicates)),
+    ("source_mix", _shipped(source_mix)),
+    ("packing", _shipped(packed)),
 ]
 
 
