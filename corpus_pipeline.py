@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import exact_dedup, mixing, packing, quality, simhash
 from framelake.llm.queries import vocabulary
-from framelake.llm.shared import free_name, table, written
+from framelake.llm.shared import free_name, place, table, written
 from framelake.session import ship
 
 #: SQL has neither the hash of the fingerprints nor the vocabulary's merges.
@@ -33,7 +33,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _without(docs: DataFrame, settle) -> DataFrame:  # noqa: ANN001
     """docs without the rows that settle(docs, uid) lists by uid."""
     uid = free_name(docs, "uid")
-    marked = docs.withColumn(uid, F.monotonically_increasing_id())
+    marked = docs.withColumn(uid, place(docs))
     # Written first, so that its size is known when the join is planned: a list below
     # Spark's broadcast threshold leaves the texts where they are.
     gone = written(settle(marked, uid).select(F.col("uid").alias(uid)), "gone")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, free_name, text_of, written
+from .shared import SPACE, WORD, free_name, place, text_of, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -155,7 +155,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     each partial one, whose text is the words that the mix takes of it with the
     white space after each. A column `n_chars` follows its text."""
     uid = free_name(docs, "uid")
-    marked = docs.withColumn(uid, F.monotonically_increasing_id())
+    marked = docs.withColumn(uid, place(docs))
     shares = mix(marked, text_col=text_col, uid=uid, **options).filter("taken > 0").select("uid", "size", "whole", "first", "first_n", "second_n")
     part = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
     one = F.array_repeat(part(F.lit(0), F.lit(-1)), F.col("whole").cast("int"))

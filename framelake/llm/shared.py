@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def place(df: DataFrame) -> Column:
+    """A name for each row that is the same in every scan of the same files: the file
+    and the row's number in it. It does not depend on how files are split, which
+    follows the executors that are there. Only a table that is not read from Parquet
+    (a test's) gets numbers that hold for one plan."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -69,9 +69,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
             fps = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "uid", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, uid long, fp long")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "uid")]
+    return rows.mapInArrow(run, f"id {kinds[0]}, uid {kinds[1]}, fp long")
 
 
 # --- links ----------------------------------------------------------------------

@@ -43,8 +43,11 @@ def _brute_exact(data):
     return out, len(groups)
 
 
-@pytest.mark.parametrize("split", ["even", "none", "all", "null"])
-def test_exact_dedup_against_brute_force(spark, split):
+@pytest.mark.parametrize("split", ["even", "none", "all", "null", "many"])
+def test_exact_dedup_against_brute_force(spark, split, monkeypatch):
+    if split == "many":  # the way beyond the broadcast's bound
+        monkeypatch.setattr(E, "BROADCAST_DIGESTS", 0)
+        split = "even"
     data = rows()
     rule = {"even": E.even(F.col("doc_id")), "none": F.lit(False), "all": F.lit(True), "null": F.lit(None).cast("boolean")}[split]
     got = E.exact_dedup(docs(spark), rule).collect()
@@ -127,3 +130,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[i] for i in range(41)} == {0}
     assert {got[k] for k in range(1000, 1100)} == {1000}
     assert got[-5] == got[-9] == -9
+
+
+def test_places_do_not_follow_the_splits(spark, small):
+    from framelake.llm.shared import place, table
+
+    docs = table(spark, small, "documents")
+    name = "spark.sql.files.maxPartitionBytes"
+    seen = []
+    for size in ("128m", "20k"):
+        spark.conf.set(name, size)
+        d = table(spark, small, "documents")
+        seen.append({r.doc_id: tuple(r.p) for r in d.select("doc_id", place(d).alias("p")).collect()})
+    spark.conf.unset(name)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == docs.count()
+    assert spark.range(5).select(place(spark.range(5)).alias("p")).distinct().count() == 5
