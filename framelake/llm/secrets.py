@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Contexts that announce a credential; the value is group 2 or, in quotes, group 3.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)"""
-    r"""["']?\x20{0,3}(?::=|=>|[:=])\x20{0,3}(?:["']([^"'\n]{4,256})["']|([^\s"',;<>]{4,256}))""",
+    r"""["']?\x20{0,3}(?::=|=>|[:=])\x20{0,3}(?:["']([^"'\n]{4,})["']|([^\s"',;<>]{4,}))""",
     re.I | re.A,
 )
 #: log10 guesses from which a value counts as a secret.
@@ -149,16 +149,21 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return total, cuts
 
 
-def scan(text: str) -> list[tuple[int, int, str]]:
-    """All spans (start, end, kind) of a text, by start, then kind as listed."""
-    found = [(m.start(), m.end(), kind) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m[group]) >= least]
+def costed(text: str) -> list[tuple[int, int, str, float | None]]:
+    """All spans (start, end, kind, cost) of a text, by start, then kind as listed."""
+    found: list[tuple[int, int, str, float | None]] = [(m.start(), m.end(), kind, None) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m[group]) >= least]
     for m in CONTEXT.finditer(text):
         i, j = m.span(2) if m[2] is not None else m.span(3)
-        if guess_cost(text[i:j])[0] >= LEAST_COST:
-            found.append((i, j, "guess"))
+        cost = guess_cost(text[i:j])[0]
+        if cost >= LEAST_COST:
+            found.append((i, j, "guess", cost))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def scan(text: str) -> list[tuple[int, int, str]]:
+    return [(i, j, k) for i, j, k, _ in costed(text)]
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every secret of every document.
 
@@ -173,8 +178,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             out = []
             for t in b.column(1):
-                text = t.as_py() or ""
-                out.append([{"start": i, "end": j, "kind": k, "cost": guess_cost(text[i:j])[0] if k == "guess" else None} for i, j, k in scan(text)])
+                out.append([{"start": i, "end": j, "kind": k, "cost": c} for i, j, k, c in costed(t.as_py() or "")])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.list_(span))], names=["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
