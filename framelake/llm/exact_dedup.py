@@ -18,7 +18,6 @@ equi-join which adaptive execution splits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +31,8 @@ from .shared import SPACE, text_of, written
 #: tasks, not a cap: there are as many shards as the snapshot needs.
 SHARD_KEYS = 1 << 18
 LEAST_SHARDS = 48
+#: Matched digests up to which they are broadcast (about 20 MB); beyond, a join.
+BROADCAST_DIGESTS = 1 << 18
 
 
 # --- the filter -----------------------------------------------------------------
@@ -199,14 +200,22 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", te
 
     met = written(passed.join(old.select("digest"), "digest"), "met")
     texts = docs.select(normalised(text_of(text_col)).alias("norm")).select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"), "norm")
-    checked = texts.join(met, "digest", "left_semi").groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
+    # Few digests matched: a broadcast of checked size picks their texts in the scan.
+    # Else every task first reduces its texts to one row a digest. Either way a group
+    # of copies of any size is a few rows where its bytes are compared.
+    few = met.count() <= BROADCAST_DIGESTS
+    picked = texts.join(F.broadcast(met), "digest", "left_semi") if few else texts
+    bounds = picked.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    checked = (bounds if few else bounds.join(met, "digest", "left_semi")).select("digest", (F.col("low") == F.col("high")).alias("same"))
     checked = checked.select("digest", F.when(F.col("same"), True).otherwise(F.raise_error(F.lit("different texts share a digest"))).alias("both"))
 
     # A digest of the batch that met no snapshot row is a group of the batch alone.
     fresh = new.join(met, "digest", "left_anti")
     joined = new.join(checked.filter("both"), "digest", "left_semi")
     settled = old.unionByName(joined).groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best")).unionByName(fresh)
-    out = rows.join(settled, "digest")
+    # Written, so that both sides of the join are plain exchanges, which adaptive
+    # execution can split where a group of copies is large.
+    out = rows.join(written(settled, "settled"), "digest")
     return out.select(
         "id", "uid", "digest",
         F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"),
