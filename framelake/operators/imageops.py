@@ -99,6 +99,12 @@ def crop_quad(img: np.ndarray, quad: np.ndarray, rotate_ratio: float = 1.5) -> n
     w, h = int(max(side(0, 1), side(2, 3))), int(max(side(0, 3), side(1, 2)))
     if w < 1 or h < 1:
         return np.zeros((0, 0, img.shape[2]), dtype=np.uint8)
+    x, y = quad[0]
+    if x == int(x) and y == int(y) and np.array_equal(quad, [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]):
+        # Upright with whole corners: the map is a shift, the kernel the pixel itself.
+        rows, columns = np.clip(np.arange(h) + int(y), 0, img.shape[0] - 1), np.clip(np.arange(w) + int(x), 0, img.shape[1] - 1)
+        crop = img[rows[:, None], columns]
+        return np.rot90(crop).copy() if h / w >= rotate_ratio else crop
     back = perspective(np.array([[0, 0], [w, 0], [w, h], [0, h]], float), quad)
     u, v = np.meshgrid(np.arange(w), np.arange(h))
     at = np.einsum("ij,jhw->ihw", back, np.stack([u, v, np.ones_like(u)]).astype(float))
@@ -184,7 +190,7 @@ def _simplified(points: list[tuple[int, int]]) -> np.ndarray:
 
 def hull(points: np.ndarray) -> np.ndarray:
     """The convex hull, counter-clockwise in mathematical axes (Andrew)."""
-    pts = sorted(set(map(tuple, np.asarray(points, float).tolist())))
+    pts = sorted(set(map(tuple, np.asarray(points, float).tolist())))  # by x, then y
     if len(pts) < 3:
         return np.array(pts, float)
 
@@ -205,17 +211,16 @@ def smallest_box(points: np.ndarray) -> tuple[np.ndarray, float]:
     p = hull(points)
     if len(p) == 1:
         return np.repeat(p, 4, axis=0), 0.0
-    best = None
-    for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
-        u = (b - a) / np.hypot(*(b - a))
-        v = np.array([-u[1], u[0]])
-        s, t = p @ u, p @ v
-        size = (s.max() - s.min()) * (t.max() - t.min())
-        if best is None or size < best[0] - 1e-9:
-            best = (size, u, v, s.min(), s.max(), t.min(), t.max())
-    _, u, v, s0, s1, t0, t1 = best
-    corners = np.array([u * s + v * t for s, t in ((s0, t0), (s1, t0), (s1, t1), (s0, t1))])
-    return order_quad(corners), float(min(s1 - s0, t1 - t0))
+    along = np.roll(p, -1, axis=0) - p
+    along /= np.hypot(along[:, 0], along[:, 1])[:, None]
+    across = np.stack([-along[:, 1], along[:, 0]], axis=1)
+    s, t = along @ p.T, across @ p.T  # a row for each side of the hull
+    s0, s1, t0, t1 = s.min(axis=1), s.max(axis=1), t.min(axis=1), t.max(axis=1)
+    size = (s1 - s0) * (t1 - t0)
+    k = int(np.flatnonzero(size <= size.min() + 1e-9)[0])
+    u, v = along[k], across[k]
+    corners = np.array([u * x + v * y for x, y in ((s0[k], t0[k]), (s1[k], t0[k]), (s1[k], t1[k]), (s0[k], t1[k]))])
+    return order_quad(corners), float(min(s1[k] - s0[k], t1[k] - t0[k]))
 
 
 def order_quad(corners: np.ndarray) -> np.ndarray:
@@ -235,6 +240,10 @@ def perimeter(p: np.ndarray) -> float:
     return float(np.hypot(*(p - np.roll(p, -1, axis=0)).T).sum())
 
 
+_ANGLES = np.arange(0, 2 * math.pi, math.pi / 64)
+_RING_OF = np.stack([np.cos(_ANGLES), np.sin(_ANGLES)], axis=1)
+
+
 def unclip(quad: np.ndarray, ratio: float) -> np.ndarray:
     """The quad grown by area * ratio / perimeter with round corners, as points;
     empty for a quad without extent. Its corners lose their fractions first."""
@@ -243,10 +252,9 @@ def unclip(quad: np.ndarray, ratio: float) -> np.ndarray:
     base = np.trunc(quad)
     if d <= 0 or polygon_area(base) == 0:
         return np.zeros((0, 2))
-    angles = np.arange(0, 2 * math.pi, math.pi / 32)
-    ring = d * np.stack([np.cos(angles), np.sin(angles)], axis=1)
-    # The offset of a convex polygon is the hull of discs on its corners.
-    return np.rint(hull((base[:, None] + ring).reshape(-1, 2)))
+    # The outline in each direction: the farthest corner, and d further.
+    far = base[np.argmax(base @ _RING_OF.T, axis=0)]
+    return np.rint(far + d * _RING_OF)
 
 
 def filled(quad: np.ndarray, width: int, height: int) -> np.ndarray:

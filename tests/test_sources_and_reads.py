@@ -149,6 +149,11 @@ def test_pixels():
     assert np.array_equal(im.crop_quad(img, box), img[3:13, 4:24])
     tall = np.array([[4, 2], [10, 2], [10, 18], [4, 18]], float)
     assert np.array_equal(im.crop_quad(img, tall), np.rot90(img[2:18, 4:10]))
+    # The shift and the general map agree, over the border too; a hair's tilt takes the map.
+    for corner in ((4, 3), (-3, 12), (20, 15)):
+        q = box - box[0] + corner
+        bent = q + np.array([[0, 0], [1e-9, 0], [1e-9, 1e-9], [0, 1e-9]])
+        assert np.abs(im.crop_quad(img, q).astype(int) - im.crop_quad(img, bent)).max() <= 1
     small = im.letterbox(flat, 320, 48)
     assert small.shape == (48, 320, 3) and (small[:, :62] > 0).all() and (small[:, 62:] == 0).all()
     one = np.zeros((4, 4, 3), np.uint8)
