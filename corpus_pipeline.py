@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
 written as Parquet and read again as the next stage's docs. All but the last
-return the columns of `documents`, whatever they are.
+return the columns of `documents`, whatever they are; names of their own never
+clash with them.
+
+Nulls, empty texts, ties, repeated rows and empty tables follow the operators: a
+null text counts as empty, texts without words are copies of each other, one of
+several equal rows stays, a null doc_id loses every tie, and no rows give no rows.
 """
 
 from __future__ import annotations

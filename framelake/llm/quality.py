@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, text: Column, bits: int = BITS) -> Column:
-    """The score of each whole text: the logistic of its sparse dot product."""
+    """The score of each whole text: the logistic of its sparse dot product. A null or
+    empty text has no feature and gets the intercept's score; equal texts score
+    alike. Only the text column is read, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

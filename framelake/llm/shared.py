@@ -45,7 +45,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/framelake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    _remove(df.sparkSession, df._written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoded, written
+from .shared import discard, encoded, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -245,7 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = e1.groupBy("u").agg(F.min("v").alias("m"))
         hung = e1.join(down, "u").select(F.greatest("v", "u").alias("x"), "u", "v", "m")
         e2 = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = written(e2.distinct(), "edges")
+        e, done = written(e2.distinct(), "edges"), e
+        discard(done)
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == last:
             break
