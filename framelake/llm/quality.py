@@ -27,7 +27,10 @@ from .shared import encoded, slices
 BITS = 18
 #: Labelled documents that training reads at most.
 SAMPLE_ROWS = 4_000
+#: Passes over the sample at least, and updates at least: a small sample is seen more
+#: often, as FTRL's steps shrink with what a weight has seen.
 EPOCHS = 4
+UPDATES = 16_000
 THRESHOLD = 0.3
 MOST_TEXT = 4 << 20
 
@@ -135,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn the weights from a sample of at most `sample` labelled documents,
     those of the smallest hashes among ids that are not held out. A label that is
     neither 0 nor 1 is not used; of several labels of an id the smallest counts.
-    Without labels every score is one half."""
+    Without labels every score is one half. The features come to the driver: at most
+    `sample` sparse vectors, about 6 KB each for texts of a few thousand characters."""
     usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1))
     chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
@@ -156,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = made.groupBy("id").agg(F.min(F.struct("i", "x", "y")).alias("r")).select("id", "r.*").collect()
     rows.sort(key=lambda r: str(r["id"]))
     spread = np.random.default_rng(7).permutation(len(rows))
-    return train([(np.frombuffer(rows[k]["i"], "<i4").astype(np.int64), np.frombuffer(rows[k]["x"], "<f4").astype(float), rows[k]["y"]) for k in spread], bits)
+    epochs = max(EPOCHS, -(-UPDATES // max(len(rows), 1)))
+    return train([(np.frombuffer(rows[k]["i"], "<i4").astype(np.int64), np.frombuffer(rows[k]["x"], "<f4").astype(float), rows[k]["y"]) for k in spread], bits, epochs)
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, text: Column, bits: int = BITS) -> Column:
