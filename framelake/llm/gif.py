@@ -172,20 +172,32 @@ def _interlaced(rows: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> Gif:
-    """Read a GIF and compose its frames on a transparent canvas.
+    """Read a GIF and compose its frames; see frames_of."""
+    gif = header(data)
+    gif.frames.extend(frames_of(data, gif))
+    return gif
+
+
+def header(data: bytes) -> Gif:
+    """A GIF's size; bytes that are no GIF raise GifError."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        raise GifError("no GIF header")
+    return Gif(*struct.unpack("<HH", data[6:10]))
+
+
+def frames_of(data: bytes, gif: Gif) -> Iterator[Frame]:
+    """The frames of a GIF one after another, composed on a transparent canvas; the
+    number of loops goes into gif.
 
     Disposal 2 clears a frame's box before the next frame, 3 restores what was
     there; a transparent index leaves the canvas. Indices beyond the palette are
-    black. A frame without a palette, or bytes that are no GIF, raise GifError.
+    black. A frame without a palette, or an unknown block, raises GifError.
     """
-    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
-        raise GifError("no GIF header")
-    width, height, flags = struct.unpack("<HHB", data[6:11])
+    width, height, flags = gif.width, gif.height, data[10]
     at, common = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         common, at = data[at : at + n], at + n
-    gif = Gif(width, height)
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     delay, disposal, hidden = 0, 0, None
     while at < len(data):
@@ -240,13 +252,12 @@ def decode(data: bytes) -> Gif:
         else:
             inside = shown[: part.shape[0], : part.shape[1]]
             part[inside] = image[inside]
-        gif.frames.append(Frame(canvas.copy(), delay, (left, top, w, h)))
+        yield Frame(canvas.copy(), delay, (left, top, w, h))
         if disposal == 2:
             part[:] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, hidden = 0, 0, None
-    return gif
 
 
 def _placed(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -279,9 +290,10 @@ def store(payload: bytes) -> bytes:
     return encode([image[i : i + FRAME_ROWS] for i in range(0, len(image), FRAME_ROWS)])
 
 
-def payload_of(gif: Gif) -> bytes:
-    """The bytes back from the composed frames."""
-    return b"".join(f.pixels[f.box[1] : f.box[1] + f.box[3], f.box[0] : f.box[0] + f.box[2], 0].tobytes() for f in gif.frames)
+def payload_of(frame: Frame) -> bytes:
+    """The bytes back from a composed frame."""
+    left, top, w, h = frame.box
+    return frame.pixels[top : top + h, left : left + w, 0].tobytes()
 
 
 def histogram(frame: Frame, bins: int = 4) -> list[int]:
@@ -329,9 +341,12 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _stored(text: str) -> tuple:
     raw = encoded(text)
     data = store(raw + PAD * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw)))
-    gif = decode(data)
-    frames = [{"delay_ms": f.delay_ms, "left": f.box[0], "top": f.box[1], "width": f.box[2], "height": f.box[3], "histogram": histogram(f)} for f in gif.frames]
-    return len(raw), data, gif.width, gif.height, frames, payload_of(gif)
+    gif = header(data)
+    frames, payload = [], []
+    for f in frames_of(data, gif):  # a long text has many frames: one is held at a time
+        frames.append({"delay_ms": f.delay_ms, "left": f.box[0], "top": f.box[1], "width": f.box[2], "height": f.box[3], "histogram": histogram(f)})
+        payload.append(payload_of(f))
+    return len(raw), data, gif.width, gif.height, frames, b"".join(payload)
 
 
 def digests(stored: DataFrame) -> DataFrame:
