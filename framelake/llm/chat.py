@@ -27,8 +27,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     segment, n_turns, n_own (turns of the perspective), rendered, n_chars (code
     points of rendered), mask_chars (code points to be learnt) and mask, an array
     of (start, end) in code points of rendered: each own turn's text with its end
-    mark. A null role is the participant "unknown", a null text is empty, a null
-    turn number comes last in segment -1; a null dialogue id is a dialogue.
+    mark. A null role is the participant "unknown", a null text is empty, a turn
+    without a number is a segment -1 of its own; a null dialogue id is a dialogue.
     Repeated rows are turns of their own. A segment without own turns keeps its
     row with an empty mask. An empty table gives an empty result. Other columns
     are not read.
@@ -37,10 +37,11 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), text_of(text_col).alias("text"),
     ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
+    rows = rows.withColumn("lone", F.when(F.col("turn").isNull(), F.monotonically_increasing_id()))
     speakers = rows.select("conv_id", F.col("role").alias("perspective")).distinct()
     # Partial results per segment first: the join then repeats segments, not turns.
-    said = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")))
-    parts = rows.groupBy("conv_id", "segment").agg(said.alias("said"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    parts = rows.groupBy("conv_id", "segment", "lone").agg(said.alias("said"))
     views = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "s.perspective", "p.segment", "p.said")
 
     own = lambda t: t["role"] == F.col("perspective")

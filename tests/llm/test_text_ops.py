@@ -119,10 +119,10 @@ def _brute_chat(turns, segment):
     out = []
     for conv, said in convs.items():
         parts = defaultdict(list)
-        for t in sorted(said):
-            parts[-1 if t[0] else t[1] // segment].append(t)
+        for k, t in enumerate(sorted(said)):
+            parts[(-1, k) if t[0] else (t[1] // segment, 0)].append(t)
         for who in {t[2] for t in said}:
-            for part, ts in parts.items():
+            for (part, _), ts in parts.items():
                 text, mask = "", []
                 for t in ts:
                     text += "<|assistant|>\n" if t[2] == who else f"<|user:{t[2]}|>\n"
@@ -137,7 +137,7 @@ def _brute_chat(turns, segment):
 def test_every_perspective(spark):
     rng = random.Random(2)
     turns = [(c, t, rng.choice(["user", "assistant", "system", "Ann", None]), rng.choice(["hi", "naïve 😀 text", "", None, "two\nlines"])) for c in range(6) for t in range(rng.randint(1, 15))]
-    turns += [(None, 0, "user", "x"), (1, None, "user", "late"), *turns[:3]]
+    turns += [(None, 0, "user", "x"), (1, None, "user", "late"), (1, None, "Ann", "later"), *turns[:3]]
     d = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id long, turn long, role string, text string, said string, mask string")
     for segment in (64, 4):
         got = C.rotate(d, segment=segment).collect()
