@@ -47,7 +47,7 @@ def _without(docs: DataFrame, settle) -> DataFrame:  # noqa: ANN001
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _without(docs, lambda d, uid: exact_dedup.exact_dedup(d, exact_dedup.even(F.col("doc_id")), uid=uid).filter("NOT kept"))
+    return _without(docs, lambda d, uid: exact_dedup.exact_dedup(d, exact_dedup.standing(F.col("doc_id")), uid=uid).filter("NOT kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,11 @@ incoming digests, positives meet the snapshot in exact buckets with a byte check
 and duplicates inside the new batch are grouped on their own.
 
 Data flow. A scan reduces every row to (digest, code points, id); texts stay
-behind. The snapshot's distinct digests are dealt over shards and each shard
+behind. A snapshot's distinct digests are dealt over shards and each shard
 becomes one filter of 8-bit fingerprints, about 9 bits a digest. The batch's
 distinct digests are dealt the same way, and each shard of digests is probed
-against its one filter (a cogroup: filters are never broadcast, they grow with
-the snapshot). Only digests that pass meet the snapshot's rows, and the texts of
+against its filters (a cogroup: filters are never broadcast, they grow with
+the snapshots). Only digests that pass meet the snapshots' rows, and the texts of
 the digests that match are compared byte by byte.
 
 Hot keys: copies collapse into one row per digest by partial aggregation before
@@ -125,15 +125,15 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACE, "")
 
 
-def digests(docs: DataFrame, in_snapshot: Column, id_col: str, text_col: str, uid: str | None) -> DataFrame:
+def digests(docs: DataFrame, snapshot: Column, id_col: str, text_col: str, uid: str | None) -> DataFrame:
     """One row per document: id, uid (its place in the scan unless a column is
-    named), whether it is in the snapshot, digest, and rank (the negative number
-    of code points)."""
+    named), the snapshot that holds it (null: the new batch), digest, and rank (the
+    negative number of code points)."""
     text = text_of(text_col)
     return docs.select(
         F.col(id_col).alias("id"),
         (F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"),
-        F.coalesce(in_snapshot, F.lit(False)).alias("old"),
+        snapshot.cast("long").alias("snapshot"),
         F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"),
         (-F.length(text)).cast("long").alias("rank"),
     )
@@ -153,50 +153,48 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.hash("digest"), F.lit(shards)).alias("shard")
 
 
-def snapshot_filters(groups: DataFrame, shards: int) -> DataFrame:
-    """One filter per shard of a snapshot's distinct digests."""
+def snapshot_filters(held: DataFrame, shards: int) -> DataFrame:
+    """One filter per snapshot and shard of its digests; a snapshot never changes, so
+    its filters can be kept."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = BinaryFuse.build(pdf["key"].to_numpy(dtype=np.int64).view(np.uint64))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "seed": [str(f.seed)], "segment": [f.segment], "segments": [f.segments], "prints": [f.prints.tobytes()]})
+        return pd.DataFrame({"snapshot": pdf["snapshot"].iloc[:1], "shard": pdf["shard"].iloc[:1], "seed": [str(f.seed)], "segment": [f.segment], "segments": [f.segments], "prints": [f.prints.tobytes()]})
 
-    keyed = groups.select(_shard(shards), F.xxhash64("digest").alias("key"))
-    return keyed.groupBy("shard").applyInPandas(build, "shard int, seed string, segment int, segments int, prints binary")
+    keyed = held.select("snapshot", "digest").distinct().select("snapshot", _shard(shards), F.xxhash64("digest").alias("key"))
+    return keyed.groupBy("snapshot", "shard").applyInPandas(build, "snapshot long, shard int, seed string, segment int, segments int, prints binary")
 
 
 def screened(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The batch's digests with `maybe`: whether the snapshot's filter lets them pass."""
+    """The batch's digests with `maybe`: whether any snapshot's filter lets them pass."""
 
     def probe(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = batch[["digest"]].copy()
-        out["maybe"] = False
-        if len(batch) and len(found):
-            row = found.iloc[0]
-            f = BinaryFuse(int(row["seed"]), int(row["segment"]), int(row["segments"]), np.frombuffer(row["prints"], dtype=np.uint8))
-            out["maybe"] = f.probe(batch["key"].to_numpy(dtype=np.int64).view(np.uint64))
-        return out
+        maybe = np.zeros(len(batch), dtype=bool)
+        keys = batch["key"].to_numpy(dtype=np.int64).view(np.uint64)
+        for row in found.itertuples():
+            maybe |= BinaryFuse(int(row.seed), int(row.segment), int(row.segments), np.frombuffer(row.prints, dtype=np.uint8)).probe(keys)
+        return pd.DataFrame({"digest": batch["digest"], "maybe": maybe})
 
     keyed = groups.select(_shard(shards), F.xxhash64("digest").alias("key"), "digest")
     return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest binary, maybe boolean")
 
 
-def exact_dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text", uid: str | None = None) -> DataFrame:
-    """Screen the rows outside a snapshot against the rows inside it and settle
-    every group of equal texts.
+def exact_dedup(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text", uid: str | None = None) -> DataFrame:
+    """Screen the new rows against those in snapshots and settle every group of equal
+    texts. `snapshot` numbers the snapshot that holds a row and is null for new ones.
 
     Returns one row per input row: id, uid, digest (binary), keep_id, keep_uid,
     group_size, kept. Rows are equal when their texts are, white space apart. A
-    null or empty text equals every other text without a word. A null
-    `in_snapshot` counts as outside. A repeated row is one more member of its
-    group and exactly one row of a group is kept. An empty table gives an empty
-    result. Two different texts under one SHA-256 digest fail the job in the
-    byte check. Other columns of docs are not read.
+    null or empty text equals every other text without a word. A repeated row is
+    one more member of its group and exactly one row of a group is kept. An empty
+    table gives an empty result. Two different texts under one SHA-256 digest fail
+    the job in the byte check. Other columns of docs are not read.
     """
-    rows = written(digests(docs, in_snapshot, id_col, text_col, uid), "digests")
-    old, new = _groups(rows.filter("old")), _groups(rows.filter("NOT old"))
-    old = written(old, "snapshot")
+    rows = written(digests(docs, snapshot, id_col, text_col, uid), "digests")
+    held, new = rows.filter("snapshot IS NOT NULL"), _groups(rows.filter("snapshot IS NULL"))
+    old = written(_groups(held), "snapshots")
     shards = max(LEAST_SHARDS, -(-old.count() // SHARD_KEYS))
-    passed = screened(new, snapshot_filters(old, shards), shards).filter("maybe").select("digest")
+    passed = screened(new, snapshot_filters(held, shards), shards).filter("maybe").select("digest")
 
     met = written(passed.join(old.select("digest"), "digest"), "met")
     texts = docs.select(normalised(text_of(text_col)).alias("norm")).select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"), "norm")
@@ -223,7 +221,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", te
     )
 
 
-def even(id_col: Column) -> Column:
-    """A standing rule for which rows of one table play the snapshot: even ids; the
-    rest, null ids too, come in as the new batch. All rows are settled either way."""
-    return F.pmod(id_col, F.lit(2)) == 0
+def standing(id_col: Column, snapshots: int = 3) -> Column:
+    """A standing rule for which rows of one table play the snapshots: even ids, dealt
+    over them; the rest, null ids too, come in as the new batch. All rows are settled
+    either way."""
+    return F.when(F.pmod(id_col, F.lit(2)) == 0, F.pmod(F.shiftright(id_col, 1), F.lit(snapshots)))

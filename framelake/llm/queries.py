@@ -49,7 +49,7 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = exact_dedup.exact_dedup(docs, exact_dedup.even(F.col("doc_id")))
+    out = exact_dedup.exact_dedup(docs, exact_dedup.standing(F.col("doc_id")))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
