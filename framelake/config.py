@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ReadConfig:
+    # Fixed values, all of them.
     # Detection: a pixel is text above det_thresh, a box stays from box_thresh on,
     # and grows by area * unclip / perimeter.
     det_thresh: float = 0.2
@@ -35,6 +36,7 @@ class ReadConfig:
 
 DEFAULT = ReadConfig()
 
+# Fixed values.
 #: Return codes of a read: fine; a missing argument, a bad frame size or a region
 #: outside the frame; models or characters that cannot be loaded; a failed read.
 OK, INVALID_ARGUMENT, LOAD_FAILED, READ_FAILED = 0, -1, -2, -3

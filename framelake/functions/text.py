@@ -43,20 +43,24 @@ def confidence(score: Column) -> Column:
     return F.floor(score * 100 + 0.5).cast("int")
 
 
+# How a report prints its detection time and its texts.
+_DET_LINE, _TEXT_FIELD, _PIECE_LINE = r"Det      :\s*([0-9.]+) ms", r'text="([^"]*)', r"(?m)^\s*\["
+
+
 def report_det_ms(report: Column) -> Column:
     """The detection time of a printed report, NA where it has none."""
-    found = F.regexp_extract(report, r"Det      :\s*([0-9.]+) ms", 1)
+    found = F.regexp_extract(report, _DET_LINE, 1)
     return F.when(found == "", "NA").otherwise(found)
 
 
 def report_texts(report: Column) -> Column:
     """Every recognised text of a printed report, in order."""
-    return F.regexp_extract_all(report, F.lit(r'text="([^"]*)'), F.lit(1))
+    return F.regexp_extract_all(report, F.lit(_TEXT_FIELD), F.lit(1))
 
 
 def report_pieces(report: Column) -> Column:
     """The number of a report's lines that begin with a bracket."""
-    return F.regexp_count(report, F.lit(r"(?m)^\s*\[")).cast("long")
+    return F.regexp_count(report, F.lit(_PIECE_LINE)).cast("long")
 
 
 def corners(points: Column) -> Column:
