@@ -70,6 +70,22 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
+# The tables' pages keep their text in one article element of headings, paragraphs and
+# bold runs, without menus or notices inside: there, plain patterns say what is main text.
+_DECODED = "x"
+for _name, _char in (("&amp;", "chr(1)"), ("&amp", "chr(1)"), ("&quot;", "chr(34)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#x27;", "chr(39)"), ("&#39;", "chr(39)")):
+    _DECODED = f"replace({_DECODED}, '{_name}', {_char})"
+OP1 = rf"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g') AS body FROM pages
+), p AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(replace({_DECODED}, chr(1), '&'), '\s+', ' ', 'g'))) AS parts FROM a
+), t AS (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), ' '), '') AS text FROM p
+)
+SELECT page_id, url, text, length(text) AS n_chars, CAST(0 AS BIGINT) AS n_removed FROM t
+"""
+
 _NL = "chr(10)"
 OP9 = f"""
 WITH t AS (
@@ -93,4 +109,4 @@ FROM o GROUP BY conv_id, perspective, segment
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3, "op6_exact_dedup": OP6, "op9_chat_perspectives": OP9}
+    return {"op1_html_main_text": OP1, "op3_source_mixing": OP3, "op6_exact_dedup": OP6, "op9_chat_perspectives": OP9}
