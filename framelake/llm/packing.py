@@ -75,8 +75,11 @@ def encoder(vocabulary: str, ranks: str | None):
     def encode(text: str) -> np.ndarray:
         try:
             return np.array(fast.encode_ordinary(text), dtype=np.uint32)
-        except (ValueError, RuntimeError, BaseExceptionGroup):
-            return slow(text)
+        except BaseException as e:
+            # The library's own failures: errors, or a panic, which is no Exception.
+            if isinstance(e, (ValueError, RuntimeError)) or type(e).__name__ == "PanicException":
+                return slow(text)
+            raise
 
     return encode
 
