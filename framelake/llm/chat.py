@@ -4,8 +4,9 @@ the mask of what a model is trained on.
 
 Native. A dialogue is rendered by segments of SEGMENT consecutive turn numbers,
 so a dialogue of any length never meets in one task; a segment's turns are joined
-in order of turn, then role, then text. The list of participants is a set of
-names per dialogue.
+in order of turn, then role, then text. Turn numbers may repeat or be missing: a
+segment of more than MOST rows is dealt over parts, each in that order. The list of
+participants is a set of names per dialogue.
 """
 
 from __future__ import annotations
@@ -13,22 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import text_of, written
 
 SEGMENT = 64
+#: Rows of a segment that stay together.
+MOST = 4096
 #: The template of one turn; a named user's name stands in the head.
 HEAD_SELF, HEAD_OTHER, HEAD_END, TAIL = "<|assistant|>\n", "<|user:", "|>\n", "<|end|>\n"
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT, most: int = MOST) -> DataFrame:
     """Render every dialogue once for each of its participants.
 
-    Returns one row per dialogue, participant and segment: conv_id, perspective,
-    segment, n_turns, n_own (turns of the perspective), rendered, n_chars (code
+    Returns one row per dialogue, participant, segment and part of a segment (0 but
+    for very large ones): conv_id, perspective, segment, part, n_turns, n_own (turns of the perspective), rendered, n_chars (code
     points of rendered), mask_chars (code points to be learnt) and mask, an array
     of (start, end) in code points of rendered: each own turn's text with its end
-    mark. A null role is the participant "unknown", a null text is empty, a turn
-    without a number is a segment -1 of its own; a null dialogue id is a dialogue.
+    mark. A null role is the participant "unknown", a null text is empty,
+    turns without a number are segment -1; a null dialogue id is a dialogue.
     Repeated rows are turns of their own. A segment without own turns keeps its
     row with an empty mask. An empty table gives an empty result. Other columns
     are not read.
@@ -37,12 +40,17 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), text_of(text_col).alias("text"),
     ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
-    rows = rows.withColumn("lone", F.when(F.col("turn").isNull(), F.monotonically_increasing_id()))
+    # Large segments are listed first; the list is written, so that its size is known
+    # when the join is planned, and is empty where turn numbers are as they should be.
+    large = written(rows.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).filter(F.col("n") > most), "large")
+    same = F.col("r.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("r.segment") == F.col("l.segment"))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("l.n") / most))
+    split = rows.alias("r").join(large.alias("l"), same, "left").select("r.*", F.coalesce(dealt, F.lit(0)).cast("long").alias("part"))
     speakers = rows.select("conv_id", F.col("role").alias("perspective")).distinct()
     # Partial results per segment first: the join then repeats segments, not turns.
     said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    parts = rows.groupBy("conv_id", "segment", "lone").agg(said.alias("said"))
-    views = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "s.perspective", "p.segment", "p.said")
+    parts = split.groupBy("conv_id", "segment", "part").agg(said.alias("said"))
+    views = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "s.perspective", "p.segment", "p.part", "p.said")
 
     own = lambda t: t["role"] == F.col("perspective")
     head: Column = F.transform("said", lambda t: F.when(own(t), F.lit(HEAD_SELF)).otherwise(F.concat(F.lit(HEAD_OTHER), t["role"], F.lit(HEAD_END))))
@@ -58,7 +66,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     views = views.withColumn("mask", F.aggregate(step, zero, add)["mask"])
     return views.select(
-        "conv_id", "perspective", "segment",
+        "conv_id", "perspective", "segment", "part",
         F.size("said").cast("long").alias("n_turns"), F.size("mask").cast("long").alias("n_own"),
         F.array_join("bodies", "").alias("rendered"), F.length(F.array_join("bodies", "")).cast("long").alias("n_chars"),
         F.aggregate("mask", F.lit(0), lambda a, m: a + m["end"] - m["start"]).cast("long").alias("mask_chars"), "mask",

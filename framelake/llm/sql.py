@@ -99,7 +99,7 @@ WITH t AS (
 ), o AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM v
 )
-SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, perspective, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
        string_agg(head || body, '' ORDER BY turn NULLS LAST, role, text) AS rendered,
        CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars,
        CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS mask_chars,

@@ -119,10 +119,10 @@ def _brute_chat(turns, segment):
     out = []
     for conv, said in convs.items():
         parts = defaultdict(list)
-        for k, t in enumerate(sorted(said)):
-            parts[(-1, k) if t[0] else (t[1] // segment, 0)].append(t)
+        for t in sorted(said):
+            parts[-1 if t[0] else t[1] // segment].append(t)
         for who in {t[2] for t in said}:
-            for (part, _), ts in parts.items():
+            for part, ts in parts.items():
                 text, mask = "", []
                 for t in ts:
                     text += "<|assistant|>\n" if t[2] == who else f"<|user:{t[2]}|>\n"
@@ -145,6 +145,20 @@ def test_every_perspective(spark):
     assert C.rotate(d.limit(0)).count() == 0
 
 
+def test_large_segments_are_dealt_over_parts(spark):
+    turns = [(1, 0 if k % 3 else None, "user" if k % 2 else "Ann", f"text {k % 10}") for k in range(300)] + [(2, 0, "user", "few")]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    got = C.rotate(d, most=20).collect()
+    assert {r.part for r in got if r.conv_id == 2} == {0}
+    assert max(r.part for r in got) >= 5 and max(r.n_turns for r in got) < 60
+    for who in ("user", "Ann"):
+        own = [r for r in got if r.conv_id == 1 and r.perspective == who]
+        said = sorted(t for r in own for t in r.rendered.split("<|end|>\n")[:-1])
+        assert said == sorted(("<|assistant|>\n" if role == who else f"<|user:{role}|>\n") + text for c, _, role, text in turns if c == 1)
+        assert sum(r.n_own for r in own) == 150
+        assert all(r.rendered[m.start : m.end].endswith("<|end|>\n") for r in own for m in r.mask)
+
+
 # --- secrets --------------------------------------------------------------------
 
 _BASE = (
