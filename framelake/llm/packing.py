@@ -4,10 +4,11 @@ Texts are tokenised where they are read; only (document, piece, length, checksum
 travels. Pieces of a whole sequence are sequences by themselves. The others are
 dealt at random over groups of a bounded size, whose number grows with the table,
 and each group is packed by branch and bound: the largest length left opens a
-sequence, its undominated fillings are enumerated with the least waste first, and
-a branch ends where the waste so far exceeds what the incumbent allows. The first
-incumbent is best-fit decreasing; every better solution replaces it, and the
-search stops at the lower bound or after a documented number of nodes.
+sequence, all its undominated fillings are enumerated with the least waste first,
+one when it is asked for, and a branch ends where the waste so far exceeds what the
+incumbent allows. The first incumbent is best-fit decreasing; every better solution
+replaces it. A second search tries likely fillings first. A search stops at the
+lower bound or after a documented number of nodes or of steps of the enumeration.
 
 Equal lengths are interchangeable, so a group is a histogram of lengths and the
 search never permutes equals.
@@ -20,7 +21,7 @@ import bisect
 import functools
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,10 @@ GROUP_PIECES = 1 << 14
 MOST_TASKS = 20_000
 #: Branches that the search of one group may open before its incumbent stands.
 NODES = 4000
-#: Fillings that one branch keeps, least waste first.
-WIDTH = 4
+#: Steps of the enumeration of fillings, over all branches, before its incumbent stands.
+STEPS = 1 << 18
+#: Likely fillings that a branch of the second search tries before all others.
+EARLY = 4
 
 
 # --- tokens ---------------------------------------------------------------------
@@ -138,14 +141,110 @@ def best_fit(stock: Counter, room: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], stock: list[int], room: int, width: int, tries: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from sizes (descending) with stock.
+def extend_sums(known: list[int], sizes: list[int], stock: list[int], room: int, least: int) -> None:
+    """Extend `known`, sums of the smaller lengths, up to the j = `least` smallest.
+
+    Bit t of known[j] says whether some of the j smallest of `sizes` (descending),
+    as often as they are in stock, add up to t <= room.
+    """
+    every = (1 << room + 1) - 1
+    n = len(sizes)
+    for j in range(len(known), least + 1):
+        sums, s = known[-1], sizes[n - j]
+        if sums != every and s <= room:
+            most, unit = min(stock[n - j], room // s), 1
+            while most:
+                unit = min(unit, most)
+                sums |= sums << s * unit
+                most -= unit
+                unit *= 2
+            sums &= every
+        known.append(sums)
+
+
+def near(there: int, waste: int) -> int:
+    """The set of t for which `there` has a member in t ... t + waste."""
+    out, width = there, 1
+    while width <= waste:
+        step = min(width, waste + 1 - width)
+        out |= out >> step
+        width += step
+    return out
+
+
+def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = ()) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of `room` from sizes (descending) with stock, once,
+    `but` for those given: the least waste first, then the largest lengths. None
+    marks a step without one.
+
+    Subset sums over the histogram (`known`, by `extend_sums`) say exactly which
+    sums the smaller lengths reach, so no start is followed that cannot end with
+    the waste at hand. A filling is dominated (Martello and Toth: its lengths fit
+    into another's) if and only if a length left out can stand for some of its
+    lengths, whose sum is at most it and at least it less the waste. Lengths are
+    chosen in falling order and such a length is longer than those it stands for,
+    so a start that is dominated is known at once and not followed.
+    """
+    n = len(sizes)
+    top = bisect.bisect_left(sizes, -room, key=lambda s: -s)
+    if known is None:
+        known = [1]
+        extend_sums(known, sizes, stock, room, n - top)
+    # Own copies: the search changes the stock before it asks for the next filling.
+    values, counts, reach = sizes[top:], stock[top:], known[: n - top + 1]
+    m = len(values)
+    there = sum(1 << s for s, c in zip(values, counts, strict=True) if c)
+    totals = reach[m] & ((1 << room + 1) - 1)
+    while totals:
+        total = totals.bit_length() - 1
+        totals ^= 1 << total
+        waste = room - total
+        # A level: the place of its length, how often it is taken at most, what is
+        # left to fill; the lengths left out, the sums of any and of two or more chosen.
+        levels = [(0, -1, total, there, 1, 0)]
+        chosen: list[tuple[int, int]] = []
+        while levels:
+            k, often, left, out, some, more = levels.pop()
+            del chosen[len(levels) :]
+            if not left:
+                # What is left out may not fit into the waste either.
+                filling = tuple(s for s, c in chosen for _ in range(c))
+                yield None if out & ((2 << waste) - 2) or filling in but else filling
+                continue
+            if often < 0:
+                k = max(k, bisect.bisect_left(values, -left, key=lambda s: -s))
+            # The next length, and how often, that leaves a sum which smaller ones reach.
+            while k < m and reach[m - k] >> left & 1:
+                s = values[k]
+                if often < 0:
+                    often = min(counts[k], left // s)
+                while often > 0 and not reach[m - k - 1] >> left - often * s & 1:
+                    often -= 1
+                if often > 0:
+                    break
+                k, often = k + 1, -1
+            else:
+                continue
+            levels.append((k, often - 1, left, out, some, more) if often > 1 else (k + 1, -1, left, out, some, more))
+            chosen.append((s, often))
+            if often == counts[k]:
+                out ^= 1 << s
+            for _ in range(often):
+                more |= (some & -2) << s
+                some |= some << s
+            if more & near(out, waste) or waste and near(out >> 1, waste - 1) >> s & 1:
+                yield None
+            else:
+                levels.append((k + 1, -1, left - often * s, out, some, more))
+
+
+def likely(sizes: list[int], stock: list[int], room: int, width: int = EARLY, tries: int = 24) -> list[tuple[int, ...]]:
+    """A few fillings that often leave lengths which pack well: what a branch tries
+    first in the second search, before all the others.
 
     A first length, of the largest that fit and of some spread over the rest, is
-    followed by every length again and again that is the largest to fit; a first
-    one whose exact partner is in stock leaves no waste. A filling dominated by
-    another of those kept (Martello and Toth: its lengths fit into the other's) is
-    dropped; the least waste comes first, then the fewest and largest lengths.
+    followed by every length again and again that is the largest to fit; exact pairs
+    join them. The least waste comes first, then the fewest and largest lengths.
     """
     live = [s for s, n in zip(sizes, stock, strict=True) if n and s <= room]
     if not live:
@@ -211,52 +310,86 @@ def lower_bound(stock: Counter, room: int) -> int:
     return best
 
 
-def complete(stock: Counter, room: int, nodes: int = NODES, width: int = WIDTH) -> list[list[int]]:
-    """Pack a histogram of lengths into as few bins of `room` as the search finds."""
+def complete(stock: Counter, room: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+    """Pack a histogram of lengths into as few bins of `room` as two searches find,
+    which try the same fillings in different orders."""
     incumbent = best_fit(stock, room)
-    total = sum(s * n for s, n in stock.items())
     bound = lower_bound(stock, room)
-    if len(incumbent) <= bound or not stock:
-        return incumbent
+    for early in (False, True):
+        if stock and len(incumbent) > bound:
+            incumbent = search(stock, room, incumbent, bound, early, nodes, steps)
+    return incumbent
+
+
+def search(stock: Counter, room: int, incumbent: list[list[int]], bound: int, early: bool, nodes: int, steps: int) -> list[list[int]]:
+    """Branch and bound from an incumbent; `early` tries likely fillings first."""
+    total = sum(s * n for s, n in stock.items())
     sizes = sorted(stock, reverse=True)
     left = [stock[s] for s in sizes]
     where = {s: i for i, s in enumerate(sizes)}
+    n, every = len(sizes), (1 << room + 1) - 1
+    known = [1]
     #: One level per bin: the lengths chosen, the other fillings to try, the waste before it.
-    path: list[tuple[int, tuple[int, ...], list[tuple[int, ...]], int]] = []
+    path: list[tuple[int, tuple[int, ...], tuple[list[tuple[int, ...]], Iterator[tuple[int, ...] | None]], int]] = []
     waste = opened = 0
+    steps += nodes + len(incumbent)
 
-    def take(head: int, f: tuple[int, ...], sign: int) -> None:
-        left[head] -= sign
+    def change(i: int, by: int) -> None:
+        """Change the stock; forget the sums that this changes."""
+        most, j = room // sizes[i], n - i
+        if len(known) > j and known[j - 1] != every and min(left[i], most) != min(left[i] + by, most):
+            del known[j:]
+        left[i] += by
+
+    def take(head: int, f: tuple[int, ...], by: int) -> None:
+        change(head, by)
         for s in f:
-            left[where[s]] -= sign
+            change(where[s], by)
+
+    def following(first: list[tuple[int, ...]], rest: Iterator[tuple[int, ...] | None], most: int) -> tuple[int, ...] | None:
+        """The next filling of at least the sum that the incumbent asks for."""
+        nonlocal steps
+        least = most - ((len(incumbent) - 1) * room - total - before)
+        while first:
+            f = first.pop(0)
+            if sum(f) >= least:
+                return f
+        for f in rest:
+            steps -= 1
+            if f is not None:
+                return f if sum(f) >= least else None
+            if steps <= 0:
+                break
+        return None
 
     while True:
         lead = path[-1][0] if path else 0  # no length before the last head is left
-        head = next((i for i in range(lead, len(left)) if left[i]), None)
+        head = next((i for i in range(lead, n) if left[i]), None)
+        options: tuple[list[tuple[int, ...]], Iterator[tuple[int, ...] | None]] = [], iter(())
         if head is None:  # a whole solution within the bound
             incumbent = [[sizes[h], *f] for h, f, _, _ in path]
             if len(incumbent) <= bound:
                 return incumbent
-            options: list[tuple[int, ...]] = []
         else:
-            left[head] -= 1
-            options = fillings(sizes, left, room - sizes[head], width)
-            left[head] += 1
+            change(head, -1)
+            gap = room - sizes[head]
+            extend_sums(known, sizes, left, room, n - bisect.bisect_left(sizes, -gap, key=lambda s: -s))
+            first = likely(sizes, left, gap) if early else []
+            options = first, fillings(sizes, left[:], gap, known[:], tuple(first))
+            change(head, 1)
         opened += 1
         before = waste
         while True:
-            allowed = (len(incumbent) - 1) * room - total
-            f = next((f for f in options if before + room - sizes[head] - sum(f) <= allowed), None) if head is not None else None
+            f = following(*options, room - sizes[head]) if head is not None else None
             if f is not None:
-                options = options[options.index(f) + 1 :]
-                take(head, f, 1)
+                take(head, f, -1)
                 path.append((head, f, options, before))
                 waste = before + room - sizes[head] - sum(f)
                 break
-            if not path or opened > nodes + len(incumbent):
+            if not path or opened > nodes + len(incumbent) or steps <= 0:
                 return incumbent
             head, f, options, before = path.pop()
-            take(head, f, -1)
+            take(head, f, 1)
     return incumbent
 
 

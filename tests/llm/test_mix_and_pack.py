@@ -149,6 +149,37 @@ def test_dominance():
     assert P.dominates((6, 4), (5, 4)) and P.dominates((6,), (3, 3)) and not P.dominates((3, 3), (6,))
 
 
+def _fits(inner, rooms):
+    """Whether lengths can be dealt over rooms, by every way to deal them."""
+    if not inner:
+        return True
+    s, tried = inner[0], set()
+    for i, r in enumerate(rooms):
+        if s <= r and r not in tried:
+            tried.add(r)
+            if _fits(inner[1:], [*rooms[:i], r - s, *rooms[i + 1 :]]):
+                return True
+    return False
+
+
+def test_fillings_are_all_the_undominated_ones():
+    rng = random.Random(3)
+    several = 0
+    for _ in range(60):
+        room = rng.randint(8, 44)
+        sizes = sorted(rng.sample(range(1, 24), rng.randint(1, 8)), reverse=True)
+        stock = [rng.randint(0, 2) for _ in sizes]
+        every = [()]
+        for s, n in zip(sizes, stock):
+            every = [f + (s,) * k for f in every for k in range(n + 1) if sum(f) + k * s <= room]
+        want = {f for f in every if not any(g != f and _fits(f, list(g)) for g in every)}
+        got = [f for f in P.fillings(sizes, stock, room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+        several += len(want) > 4
+    assert several
+
+
 @pytest.mark.parametrize("fast", [True, False])
 def test_packed_documents(spark, fast):
     data = [r for r in rows(6, 50)]
