@@ -6,7 +6,8 @@ the same rule, to the shards of a source. In each shard a source's documents lie
 in seeded order on one token line that closes into a ring; the shard's quota is
 that many consecutive blocks of the ring from a seeded start, whole rounds
 included, so a document's share follows from its place alone and no block is
-ever enumerated.
+ever enumerated. A shard never takes more than its cap; the words of its quota
+above that go to the source's other shards.
 
 Scale: word counts shrink each row to (id, source, size) before any shuffle. The
 tables of sources and of (source, shard) pairs are aggregates. Documents meet in
@@ -133,8 +134,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shared = sainte_lague(shared.withColumnRenamed("quota", "blocks"), ["source"], "line", F.col("blocks"), [F.col("shard")])
 
     # A shard takes `words` words: whole rounds of its line, then `rest` words from `start`.
-    words = F.least(F.col("quota") * block, F.lit(repeats) * F.col("line"))
-    shared = shared.select("source", "shard", "line", "source_size", "target", words.alias("words"))
+    # What a quota has above its shard's cap goes to the source's other shards, in
+    # proportion to their room: differences of a running share, whose sum is exact.
+    shared = shared.withColumn("words", F.least(F.col("quota") * block, F.lit(repeats) * F.col("line")))
+    shared = shared.withColumn("room", F.lit(repeats) * F.col("line") - F.col("words"))
+    of_source = Window.partitionBy("source")
+    shared = shared.withColumn("rooms", F.sum("room").over(of_source)).withColumn("excess", F.least(F.col("rooms"), F.sum(F.col("quota") * block - F.col("words")).over(of_source)))
+    shared = shared.withColumn("upto", F.sum("room").over(of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    share = lambda upto: f"cast({upto} as decimal(19,0)) * cast(excess as decimal(19,0)) div cast(rooms as decimal(19,0))"
+    more = F.when((F.col("excess") > 0) & (F.col("rooms") > 0), F.expr(f"({share('upto')}) - ({share('(upto - room)')})")).otherwise(0)
+    shared = shared.select("source", "shard", "line", "source_size", "target", (F.col("words") + more).alias("words"))
     shared = shared.withColumn("rounds", F.when(F.col("line") > 0, F.expr("words div line")).otherwise(0)).withColumn("rest", F.col("words") - F.col("rounds") * F.col("line"))
     shared = shared.withColumn("start", F.when(F.col("line") > 0, F.pmod(number(seeded(seed, F.col("source"), F.col("shard"))), F.col("line"))).otherwise(0))
 

@@ -58,6 +58,22 @@ def test_mix_meets_its_targets(spark):
     assert total(again) == total(got)
 
 
+def test_a_small_source_of_many_shards_meets_its_target(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_DOCS", 4)
+    rng = random.Random(11)
+    # "a" has weight 5 and so few words that its target is three times its size.
+    data = [(i, " ".join(["w"] * rng.randint(1, 10)), "en", "a", 0, *["x"] * 9) for i in range(100)]
+    data += [(1000 + i, " ".join(["w"] * 40), "en", "b", 0, *["x"] * 9) for i in range(400)]
+    got = M.mix(docs(spark, data)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["a"] == 3 * sum(_size(r[1]) for r in data if r[3] == "a")
+    assert all(abs(taken[s] - t) <= M.BLOCK for s, t in target.items())
+
+
 def test_targets_cap_and_reshare(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 0, None: 7}
     got = {r.source: r.target for r in M.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")).collect()}
