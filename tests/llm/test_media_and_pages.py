@@ -199,3 +199,17 @@ def test_the_driver_pages_against_a_plain_reading(spark, small):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub("</?b>", "", p))).strip() for p in re.split("</?(?:p|h1|br)>", body))
         assert got[r.page_id] == " ".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("n", [10, 250, 3000])
+def test_text_after_a_deep_nest_stays_in_its_article(n):
+    nest = "<div>" * n + "deep" + "</div>" * n
+    assert _text(f"<div><article><p>A</p>{nest}<p>B</p></article></div>") == ["A", "deep", "B"]
+    assert _text(f"<article><p>A</p>{'<div>' * n}<nav>no</nav>{'</div>' * n}<p>B</p></article>") == ["A", "B"]
+
+
+def test_a_form_that_wraps_the_page_is_spared():
+    assert _text("<form id=aspnet><nav>no</nav><article><p>a</p></article></form>") == ["a"]
+    assert _text("<form><h1>T</h1><p>long enough a text to be most of the page</p></form><p>x</p>") == ["T", "long enough a text to be most of the page", "x"]
+    assert _text("<article><p>a</p><form class=head>no</form></article>") == ["a"]
+    assert _text("<article><form role=search><p>no</p></form><p>a</p></article>") == ["a"]
