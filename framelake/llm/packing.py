@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -53,7 +54,8 @@ def encoder(vocabulary: str, ranks: str | None):
     """Texts to arrays of ids by the `tokenizers` file `vocabulary`.
 
     `ranks` may name the same vocabulary in rank form. Its ids are equal and come
-    several times faster; a text that it refuses goes to `tokenizers`.
+    several times faster. The added tokens of `vocabulary` are no ranks: a text that
+    holds one goes to `tokenizers`, as does a text that the rank form refuses.
     """
     from tokenizers import Tokenizer
 
@@ -61,9 +63,7 @@ def encoder(vocabulary: str, ranks: str | None):
 
     def slow(text: str) -> np.ndarray:
         if not held:
-            t = Tokenizer.from_file(vocabulary)
-            t.encode_special_tokens = True
-            held.append(t)
+            held.append(Tokenizer.from_file(vocabulary))
         return np.array(held[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     if ranks is None:
@@ -71,11 +71,15 @@ def encoder(vocabulary: str, ranks: str | None):
     import public_tokenizers
     import tiktoken
 
+    with open(vocabulary, encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if any(t in text for t in added):
+            return slow(text)
         try:
             return np.array(fast.encode_ordinary(text), dtype=np.uint32)
         except BaseException as e:

@@ -221,5 +221,15 @@ def test_packed_documents(spark, fast):
         assert at <= 1024
 
 
+@pytest.mark.parametrize("fast", [True, False])
+def test_added_tokens_get_their_ids(fast):
+    names = vocabulary()
+    t = Tokenizer.from_file(names[0])
+    encode = P.encoder(names[0], names[1] if fast else None)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a <|endoftext| > b", "plain"):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
+
+
 def test_packing_an_empty_table(spark):
     assert P.pack_documents(docs(spark, []), *vocabulary()).count() == 0
