@@ -68,7 +68,7 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    out = secrets.secret_spans(table(spark, sf_dir, "documents"), vocabulary()[0])
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = said(F.filter("spans", lambda s: s["kind"] != "guess"))

@@ -180,34 +180,107 @@ def test_base_spans_against_the_plain_patterns(text):
     assert got == want
 
 
-def _exhaustive(value):
+_RANK = X.ranks(vocabulary()[0])
+
+
+def _all_parts(value, rank):
+    """Every part of a value but brute force, by plain search: (start, end, cost)."""
+    n, low = len(value), X.lowered(value)
+    plain = low.translate(X.LEET)
+    for i in range(n):
+        for j in range(i + 3, min(n, i + X.LONGEST) + 1):
+            cost = X.word_cost(value, low, plain, i, j, rank)
+            if cost is not None:
+                yield i, j, cost
+        if m := X.DATE.match(value, i):
+            yield i, m.end(), X.date_cost(m.end() - i)
+        for unit in range(1, 5):
+            times = 1
+            while low[i + times * unit : i + (times + 1) * unit] == low[i : i + unit] and i + (times + 1) * unit <= n:
+                times += 1
+            if times >= 2 and times * unit >= 3:
+                yield i, i + times * unit, X.repeat_cost(value[i : i + unit], times)
+        j = i + 1
+        while j < n and low[j] in X.NEAR.get(low[j - 1], ""):
+            j += 1
+            if j - i >= 3:
+                yield i, j, X.WALK + X.STEP * (j - i - 1)
+        for step in (1, -1):
+            j = i + 1
+            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
+                j += 1
+            if j - i >= 3:
+                yield i, j, X.sequence_cost(j - i)
+
+
+def _exhaustive(value, rank):
     """The least cost over every way to cut a short value."""
     unit = math.log10(X._alphabet(value))
     known = defaultdict(list)
-    for i, j, _, cost in X.parts(value):
-        known[i].append((j, min(cost, unit * (j - i))))
+    for i, j, cost in _all_parts(value, rank):
+        known[i].append((j, cost))
     best = math.inf
 
-    def go(at, cost, kind):
+    def go(at, cost, brute):
         nonlocal best
         if at == len(value):
             best = min(best, cost)
             return
         for j, c in known[at]:
-            go(j, cost + c + (0.3 if at else 0), "known")
-        go(at + 1, cost + unit + (0.3 if at and kind != "brute" else 0), "brute")
+            go(j, cost + c + (X.JOINT if at else 0), False)
+        go(at + 1, cost + unit + (X.JOINT if at and not brute else 0), True)
 
-    go(0, 0.0, "")
+    go(0, 0.0, False)
     return best
 
 
-@pytest.mark.parametrize("value", ["password", "passw0rd1", "qwerty99", "abcabcab", "20240131", "aaaaaaaa", "zX9$kQ", "lovedragon", "asdf1987", "12345678", "xq7"])
+def _whole_programme(value, rank):
+    """The same by a plain table over (end, whether the last part is brute force)."""
+    unit, n = math.log10(X._alphabet(value)), len(value)
+    known = defaultdict(list)
+    for i, j, cost in _all_parts(value, rank):
+        known[i].append((j, cost))
+    best = [[math.inf, math.inf] for _ in range(n + 1)]
+    best[0][0] = 0.0
+    for i in range(n):
+        for brute in (0, 1):
+            for j, c in known[i]:
+                best[j][0] = min(best[j][0], best[i][brute] + c + (X.JOINT if i else 0))
+            best[i + 1][1] = min(best[i + 1][1], best[i][brute] + unit + (X.JOINT if i and not brute else 0))
+    return min(best[n])
+
+
+@pytest.mark.parametrize("value", ["password", "passw0rd1", "qwerty99", "abcabcab", "20240131", "aaaaaaaa", "zX9$kQ", "lovedragon", "asdf1987", "12345678", "xq7", "a\u0130bcword"])
 def test_guess_cost_is_the_least_over_all_cuts(value):
-    cost, cuts = X.guess_cost(value)
-    assert cost == pytest.approx(_exhaustive(value))
+    cost, cuts = X.guess_cost(value, _RANK)
+    assert cost == pytest.approx(_exhaustive(value, _RANK))
     assert [i for i, _, _ in cuts] == [0, *[j for _, j, _ in cuts][:-1]] and cuts[-1][1] == len(value)
 
 
+def test_long_values_are_costed_whole():
+    rng = random.Random(5)
+    chunks = ["password", "qwertyuiop", "asasas", "20240131", "zzzz", "k9#V", "abcdefgh", "Pa55word", "ab" * 40, "-" * 90, "lkjhgf"]
+    for _ in range(60):
+        value = "".join(rng.choice(chunks) for _ in range(rng.randint(8, 30)))
+        assert len(value) > 40
+        cost, cuts = X.guess_cost(value, _RANK)
+        assert cost == pytest.approx(_whole_programme(value, _RANK))
+        assert "".join(value[i:j] for i, j, _ in cuts) == value
+    assert X.guess_cost("Z" * 200)[0] == pytest.approx(math.log10(26) + math.log10(200))
+    assert X.guess_cost("x" * 60 + "password")[0] == pytest.approx(math.log10(26) + math.log10(60) + X.JOINT + math.log10(2))
+    assert X.guess_cost("as" * 50_000)[0] < X.LEAST_COST < X.guess_cost("k9#Vq2" * 3 + "x!")[0]
+    assert not [s for s in X.scan("password: " + "*" * 200, _RANK) if s[2] == "guess"]
+
+
+def test_ordinary_words_are_no_secrets():
+    for text in ("token: documentation", "auth=configuration", "secret: international", "secret: always", "token: identifier", "Password: REQUIRED"):
+        assert not [s for s in X.scan(text, _RANK) if s[2] == "guess"], text
+    kinds = [k for _, _, k in X.guess_cost("correcthorsebattery", _RANK)[1]]
+    assert set(kinds) == {"word"} and len(kinds) >= 3
+    # A character whose lower case is longer shifts nothing.
+    assert ("word" in [k for i, j, k in X.guess_cost("\u0130\u0130password", _RANK)[1] if (i, j) == (2, 10)])
+
+
 def test_guess_cost_tells_kinds():
     kinds = lambda v: [k for _, _, k in X.guess_cost(v)[1]]
     assert kinds("password") == ["word"]
@@ -221,10 +294,10 @@ def test_guess_cost_tells_kinds():
 
 def test_secret_spans(spark):
     data = [(1000 + i, t, "en", "s", 0, *["x"] * 9) for i, t in enumerate([*_TEXTS, None])] + rows()
-    got = X.secret_spans(docs(spark, data)).collect()
+    got = X.secret_spans(docs(spark, data), vocabulary()[0]).collect()
     by = {r.id: [(s.start, s.end, s.kind) for s in r.spans] for r in got}
     assert len(got) == len(data)
-    assert all(by[1000 + i] == X.scan(t or "") for i, t in enumerate([*_TEXTS, None]))
+    assert all(by[1000 + i] == X.scan(t or "", _RANK) for i, t in enumerate([*_TEXTS, None]))
     assert all((s.cost is None) == (s.kind != "guess") for r in got for s in r.spans)
     assert X.secret_spans(docs(spark, [])).count() == 0
     clean = " ".join(random.Random(1).choice(WORDS) for _ in range(500))
