@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import json
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +32,12 @@ SHORT = 64
 class LongestMatch:
     """Greedy longest-match counts of a word's pieces.
 
-    `initial` pieces may begin a word and `inner` ones continue it. A word that
-    cannot be cut counts as one unknown token.
+    `initial` pieces may begin a word and `inner` ones continue it. An empty initial
+    piece is the mark of a word's begin as a piece of its own: it is taken where no
+    other initial piece fits. A word that cannot be cut is unknown.
     """
 
-    def __init__(self, initial: Iterable[bytes], inner: Iterable[bytes]) -> None:
+    def __init__(self, initial: Collection[bytes], inner: Iterable[bytes]) -> None:
         self.edges: list[dict[int, int]] = [{}, {}]  # 0: a word's begin, 1: inside a word
         whole = [False, False]
         for root, pieces in ((0, initial), (1, inner)):
@@ -52,6 +53,8 @@ class LongestMatch:
                 whole[at] = whole[at] or at > 1
         self.link = [-1] * len(self.edges)
         self.pops = [0] * len(self.edges)
+        if b"" in initial:
+            self.link[0], self.pops[0] = 1, 1
         queue = deque((0, 1))
         while queue:
             at = queue.popleft()
@@ -80,7 +83,7 @@ class LongestMatch:
                     return -1
                 nxt = edges[at].get(byte)
             at = nxt
-        while at > 1:
+        while at > 1:  # the empty word has no piece
             total += pops[at]
             at = link[at]
             if at < 0:
@@ -90,13 +93,14 @@ class LongestMatch:
 
 def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     """Word-initial and continuing pieces of a byte-level vocabulary file: what
-    follows a space begins a word, what has no white space continues one."""
+    follows a space begins a word, what has no white space continues one. The space
+    alone, a piece too, is the empty initial piece, so a word of any bytes is cut."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     pieces = [bytes(byte_of[c] for c in p) for p in vocabulary if all(c in byte_of for c in p)]
-    initial = [p[1:] for p in pieces if p[:1] == b" " and len(p) > 1 and len(p[1:].split()) == 1 and p[1:].strip() == p[1:]]
+    initial = [p[1:] for p in pieces if p == b" " or p[:1] == b" " and len(p[1:].split()) == 1 and p[1:].strip() == p[1:]]
     inner = [p for p in pieces if len(p.split()) == 1 and p.strip() == p]
     return initial, inner
 
@@ -128,8 +132,9 @@ def counted(text: str, auto: LongestMatch, memory: dict[bytes, int]) -> tuple[in
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count the tokens of every document.
 
-    Returns one row per input row: id, n_words, n_tokens (an unknown word is one)
-    and n_unknown. Words stand between ASCII white space. A null or empty text
+    Returns one row per input row: id, n_words, n_tokens (a word that the vocabulary
+    cannot cut is one token) and n_unknown, the number of such words; a byte-level
+    vocabulary cuts every word, spaced or not. Words stand between ASCII white space. A null or empty text
     counts nothing; repeated rows count alike. Other columns are not read.
     """
 

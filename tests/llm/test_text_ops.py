@@ -28,7 +28,11 @@ def _greedy(word, initial, inner):
             if word[at:end] in pieces:
                 break
         else:
-            return -1
+            if at or n or b"" not in initial:
+                return -1
+            # The mark alone, and the word's bytes as a continuation.
+            rest = _greedy(word, inner, inner) if b"" not in inner else -1
+            return -1 if rest < 0 else rest + 1
         at, n = end, n + 1
     return n
 
@@ -38,6 +42,8 @@ def test_automaton_against_greedy_search(seed):
     rng = random.Random(seed)
     piece = lambda: bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5)))
     initial, inner = {piece() for _ in range(12)}, {piece() for _ in range(12)}
+    if seed % 2:
+        initial.add(b"")
     auto = W.LongestMatch(initial, inner)
     for n in range(7):
         for letters in itertools.product(b"abc", repeat=n):
@@ -55,6 +61,21 @@ def test_token_counts_with_the_real_vocabulary(spark):
     assert sorted((-1 if r.id is None else r.id, r.n_words, r.n_tokens, r.n_unknown) for r in got) == sorted(want)
 
 
+def test_words_without_spaces_are_cut():
+    initial, inner = W.byte_level_pieces(vocabulary()[0])
+    auto = W.automaton(vocabulary()[0])
+    assert b"" in initial and all(bytes([b]) in set(inner) for b in range(256) if not bytes([b]).isspace())
+    known, rest = set(initial), set(inner)
+    for text in ("你好世界" * 50, "\u0301" * 40, "ไทย" * 30, "\x00\x01", "🙂" * 20, "x" * 300):
+        word = text.encode()
+        want = _greedy(word, known, rest)
+        assert auto.count(word) == want > 0
+    assert auto.count("你好世界".encode() * 500) > 1000
+    assert W.counted("你好世界" * 500, auto, {})[2] == 0
+    # Every byte begins a word, whether or not an initial piece has it.
+    assert all(auto.count(bytes([b])) in (1, 2) for b in range(256) if not bytes([b]).isspace())
+
+
 # --- quality --------------------------------------------------------------------
 
 
