@@ -26,8 +26,11 @@ RUN = 1 << 13
 #: Rows of one frame: a longer payload goes on in further frames.
 FRAME_ROWS = 64
 PAD = b"\xff"
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: 256 different colours: three bits of a byte are its red, three its green, two its blue.
+PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 _BIT = np.arange(16)
+_EIGHT = ((np.arange(256) * 7 + 127) // 255).astype(np.uint8)
+_FOUR = ((np.arange(256) * 3 + 127) // 255).astype(np.uint8)
 _SINGLES = [bytes([i]) for i in range(256)]
 
 
@@ -158,8 +161,16 @@ def _strings(codes: list[int], base: list[bytes], clear: int) -> list[bytes]:
 # --- the file -------------------------------------------------------------------
 
 
+def _part(data: bytes, at: int, n: int) -> bytes:
+    """n bytes from a place; a file that ends before them raises GifError."""
+    if at + n > len(data):
+        raise GifError(f"the file ends at {len(data)}, inside the {n} bytes from {at}")
+    return data[at : at + n]
+
+
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
-    """The bytes of data sub-blocks and the place after their end."""
+    """The bytes of data sub-blocks and the place after their end; blocks that the
+    file's end cuts give what they hold."""
     parts = []
     while at < len(data) and (n := data[at]):
         parts.append(data[at + 1 : at + 1 + n])
@@ -191,13 +202,15 @@ def frames_of(data: bytes, gif: Gif) -> Iterator[Frame]:
 
     Disposal 2 clears a frame's box before the next frame, 3 restores what was
     there; a transparent index leaves the canvas. Indices beyond the palette are
-    black. A frame without a palette, or an unknown block, raises GifError.
+    black. A frame whose image data the file's end cuts draws what it holds. A file
+    that ends inside a header or palette, a frame without a palette, or an unknown
+    block, raises GifError.
     """
     width, height, flags = gif.width, gif.height, data[10]
     at, common = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
-        common, at = data[at : at + n], at + n
+        common, at = _part(data, at, n), at + n
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     delay, disposal, hidden = 0, 0, None
     while at < len(data):
@@ -205,7 +218,7 @@ def frames_of(data: bytes, gif: Gif) -> Iterator[Frame]:
         if kind == 0x3B:
             break
         if kind == 0x21:
-            label = data[at + 1]
+            label = _part(data, at + 1, 1)[0]
             body, after = _blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
                 packed, hundredths, index = struct.unpack("<BHB", body[:4])
@@ -216,15 +229,15 @@ def frames_of(data: bytes, gif: Gif) -> Iterator[Frame]:
             continue
         if kind != 0x2C:
             raise GifError(f"unknown block {kind:#x}")
-        left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        left, top, w, h, packed = struct.unpack("<HHHHB", _part(data, at + 1, 9))
         at += 10
         palette = common
         if packed & 0x80:
             n = 3 << (packed & 7) + 1
-            palette, at = data[at : at + n], at + n
+            palette, at = _part(data, at, n), at + n
         if palette is None:
             raise GifError("a frame without a palette")
-        size = data[at]
+        size = _part(data, at, 1)[0]
         if not 1 <= size <= 8:
             raise GifError("a code size out of range")
         stream, at = _blocks(data, at + 1)
@@ -266,7 +279,7 @@ def _placed(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(frames: list[np.ndarray], palette: bytes = GREY, delay_ms: int = 100, disposal: int = 1) -> bytes:
+def encode(frames: list[np.ndarray], palette: bytes = PALETTE, delay_ms: int = 100, disposal: int = 1) -> bytes:
     """A looping GIF89a of indexed frames (height x width, uint8), drawn from the
     top left corner of a canvas that holds the largest."""
     height, width = (max(f.shape[k] for f in frames) for k in (0, 1))
@@ -284,16 +297,18 @@ def encode(frames: list[np.ndarray], palette: bytes = GREY, delay_ms: int = 100,
 
 
 def store(payload: bytes) -> bytes:
-    """A payload (a positive multiple of ROW bytes) as grey frames of a GIF, a byte
-    a pixel."""
+    """A payload (a positive multiple of ROW bytes) as frames of a GIF, a byte a
+    pixel's palette index."""
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
     return encode([image[i : i + FRAME_ROWS] for i in range(0, len(image), FRAME_ROWS)])
 
 
 def payload_of(frame: Frame) -> bytes:
-    """The bytes back from a composed frame."""
+    """The bytes back from a composed frame: the index of each pixel's colour in
+    PALETTE, whose levels are far enough apart to be told by rounding."""
     left, top, w, h = frame.box
-    return frame.pixels[top : top + h, left : left + w, 0].tobytes()
+    p = frame.pixels[top : top + h, left : left + w]
+    return (_EIGHT[p[..., 0]] << 5 | _EIGHT[p[..., 1]] << 2 | _FOUR[p[..., 2]]).tobytes()
 
 
 def histogram(frame: Frame, bins: int = 4) -> list[int]:
@@ -350,7 +365,8 @@ def _stored(text: str) -> tuple:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """The digest columns of `media` rows, by native functions."""
+    """The digest columns of `media` rows, and their timed frames (delay, box and
+    colour histogram of each), by native functions."""
     total = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["histogram"][k]))
     return stored.select(
         "id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"),
@@ -358,4 +374,6 @@ def digests(stored: DataFrame) -> DataFrame:
         F.crc32(F.substring("payload", -32, 32)).cast("long").alias("tail_crc32"),
         F.length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"),
         F.concat_ws(",", F.filter(F.transform(total, lambda n, k: F.when(n > 0, F.concat_ws(":", k.cast("string"), n.cast("string")))), lambda s: s.isNotNull())).alias("feature"),
+        F.size("frames").cast("long").alias("n_frames"),
+        F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_ms"]).alias("duration_ms"), "frames",
     )

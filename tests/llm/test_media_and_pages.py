@@ -4,6 +4,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +78,39 @@ def test_bad_streams():
         G.decode(b"not a gif")
 
 
+def test_files_cut_anywhere_raise_only_their_own_error():
+    palette = bytes(range(12))
+    data = _gif([((0, 0, 2, 2), [0, 1, 2, 3], 1, None, 0), ((1, 0, 1, 1), [3], 2, 1, 1)], palette)
+    local = data[:13] + data[25:]  # no global palette
+    local = local[:10] + b"\x01" + local[11:]
+    stored = G.store(bytes(range(256)) * 9)
+    for whole in (data, local, stored[:1200] + b";"):
+        read = 0
+        for n in range(len(whole)):
+            try:
+                G.decode(whole[:n])
+                read += 1
+            except G.GifError:
+                pass
+        assert read or whole is local
+    rng = random.Random(3)
+    for _ in range(600):
+        broken = bytearray(data)
+        broken[rng.randrange(10, len(data))] = rng.randrange(256)
+        try:
+            G.decode(bytes(broken))
+        except G.GifError:
+            pass
+
+
+def test_every_byte_has_a_colour_of_its_own():
+    every = bytes(range(256)) + bytes(G.ROW - 256)
+    frame = G.decode(G.store(every)).frames[0]
+    assert G.payload_of(frame) == every
+    assert len({tuple(p) for p in frame.pixels.reshape(-1, 4).tolist()}) == 256
+    assert sum(n > 0 for n in G.histogram(frame)) == 64
+
+
 def _gif(frames, palette, size=(2, 2)):
     """frames: (box, indices, disposal, transparent, interlaced)."""
     out = b"GIF89a" + struct.pack("<HHBBB", *size, 0xF1, 0, 0) + palette
@@ -125,8 +159,11 @@ def test_texts_as_gifs(spark):
         stored = G.store(payload)
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (x.media_bytes, x.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-        counts = np.bincount(np.frombuffer(payload, np.uint8) // 64, minlength=4)
-        assert x.feature == ",".join(f"{21 * k}:{n}" for k, n in enumerate(counts) if n)
+        bins = Counter(sum(v // 64 * 4**k for v, k in (((b >> 5) * 255 // 7, 2), ((b >> 2 & 7) * 255 // 7, 1), ((b & 3) * 85, 0))) for b in payload)
+        assert x.feature == ",".join(f"{k}:{n}" for k, n in sorted(bins.items()))
+        assert (x.n_frames, x.duration_ms) == (len(x.frames), 100 * len(x.frames))
+        assert [f.height for f in x.frames] == [min(G.FRAME_ROWS, len(payload) // G.ROW - at) for at in range(0, len(payload) // G.ROW, G.FRAME_ROWS)]
+        assert np.sum([f.histogram for f in x.frames], axis=0).tolist() == [bins[k] for k in range(64)]
     assert G.media(docs(spark, [])).count() == 0
     long = [(1, "täxt " * 30_000, "en", "s", 0, *["x"] * 9)]
     media = G.media(docs(spark, long)).collect()[0]
