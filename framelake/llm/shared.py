@@ -75,6 +75,27 @@ def place(df: DataFrame) -> Column:
     return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+#: Parts into which a hot key is spread.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    """A number below SALTS by which rows of one key are told apart in a join."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def salt_bit(*columns: str) -> Column:
+    """Aggregate: a bit for each salt that a group's rows have."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(*columns)))
+
+
+def salts(bits: str) -> Column:
+    """The salts of a salt_bit, as an array. A table of one row a key, repeated for
+    these, meets each row of the other side once; none of its rows is in vain, and no
+    key's rows come to one task."""
+    return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("getbit", F.col(bits), k) == 1)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

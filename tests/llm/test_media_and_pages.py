@@ -174,8 +174,7 @@ def test_texts_as_gifs(spark):
 
 
 def _text(page, url="http://a.example/x"):
-    found, decided = H.page_blocks(page, url)
-    return [b.text for b in found if not b.drop and (b.kept or not decided)]
+    return [b.text for b in H.page_blocks(page, url)]
 
 
 @pytest.mark.parametrize(
@@ -229,6 +228,102 @@ def test_a_site_template_is_removed_and_content_stays(spark):
     assert {r.text for r in H.main_text(same).collect()} == {"Same words"}
 
 
+def _tree(pages):
+    """Text and removed leaves by a style tree in plain dictionaries."""
+    read, seen = [], set()
+    for page_id, url, page in pages:
+        found = H.page_blocks(page or "", url)
+        body = (H.host_of(url), *(b.text for b in found))
+        read.append((page_id, found, body not in seen))
+        seen.add(body)
+    weigh = lambda found: [b for b in found if not (b.kept and b.heading)]
+    pages_of, having, styles = Counter(), Counter(), {}
+    for _, found, first in read:
+        if first:
+            pages_of.update({b.place for b in weigh(found)})
+            having.update({(b.place, f) for b in weigh(found) for f in H.features(b)})
+            styles.update({b.place: b.parent for b in found})
+    low = set()
+    for place, m in pages_of.items():
+        if m < H.LEAST_PAGES:
+            continue
+        shares = [pages_of[p] for p in pages_of if styles[p] == styles[place]]
+        shown = -sum(c / sum(shares) * np.log(c / sum(shares)) for c in shares) / np.log(sum(shares))
+        counts = [c for (p, _), c in having.items() if p == place]
+        content = 1 - sum(c * np.log(c) / np.log(m) for c in counts) / sum(counts)
+        if (1 - H.GAMMA) * shown + H.GAMMA * content < H.LOW:
+            low.add(place)
+    out = {}
+    for page_id, found, _ in read:
+        stays = [b for b in found if b.place not in low or b.kept and b.heading]
+        chars = lambda bs: sum(len(b.text) for b in bs)
+        if chars(found) - chars(stays) > H.MOST_REMOVED * chars(found):
+            stays = found
+        out[page_id] = (" ".join(b.text for b in stays), len(found) - len(stays))
+    return out
+
+
+def _site(rng, n, host, make):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    return [(host * 1000 + i, f"http://site{host}.example/{i}", make(i, lambda k: " ".join(word() for _ in range(k)))) for i in range(n)]
+
+
+def test_the_tree_weighs_every_page(spark):
+    rng = random.Random(4)
+    notice = lambda i: "<div class=x><p>Read our terms before you copy this text</p></div>" if i % 9 else "<div class=x><p>Odd one out says other things</p></div>"
+    paragraphs = lambda i, text: "".join(f"<p>{text(12)}</p>" for _ in range(1 + i % 4))
+    sites = [
+        # A notice and share line in neutral elements inside the article; articles of many lengths.
+        _site(rng, 30, 1, lambda i, t: f"<body><nav>m</nav><article><h1>Title</h1>{paragraphs(i, t)}{notice(i)}<div>Tell your friends about this page now</div></article></body>"),
+        # No article: a line with a date is a template, the post is not.
+        _site(rng, 30, 2, lambda i, t: f"<body><div class=a><p>This site was last changed by us all on {t(1)}</p></div><div class=b>{paragraphs(i, t)}</div></body>"),
+        # Few pages: nothing can be told.
+        _site(rng, 3, 3, lambda i, t: f"<body><div class=a><p>Same on all</p></div><div class=b><p>{t(9)}</p></div></body>"),
+        # Repeated pages, and pages of two bodies.
+        [(4000 + i, "http://mirror.example/", "<body><div><p>One body only</p></div><div><p>second part</p></div></body>") for i in range(8)],
+        [(5000 + i, "http://two.example/", f"<body><div><p>Body number {i % 2} of a page</p></div></body>") for i in range(8)],
+        # Recrawls that differ in a line: nearly all would go, so nothing does.
+        [(6000 + i, "http://crawl.example/", f"<article><p>{'A long text that stays as it was. ' * 4}</p><p>visit {i}</p></article>") for i in range(6)],
+        # Templates by their links.
+        _site(rng, 12, 7, lambda i, t: f"<body><div><a href=/home>{t(1)}</a></div><div><p>{t(20)}</p></div></body>"),
+    ]
+    pages = [p for s in sites for p in s]
+    rng.shuffle(pages)
+    d = spark.createDataFrame([(*p, "x", "y", "z") for p in pages], "page_id long, url string, html string, uid string, leaves string, place string").repartition(7)
+    got = {r.id: (r.text, r.n_removed) for r in H.main_text(d).collect()}
+    assert got == _tree(pages)
+    assert sum(n > 0 for _, n in got.values()) > 0.5 * len(pages)
+    for i in range(30):
+        text, n = got[1000 + i]
+        assert "friends" not in text and "terms" not in text and text.startswith("Title ") and n == 2
+        assert "last changed" not in got[2000 + i][0] and got[2000 + i][1] == 1
+    assert all(got[3000 + i][1] == 0 for i in range(3))
+    assert {got[4000 + i] for i in range(8)} == {("One body only second part", 0)}
+    assert {got[5000 + i] for i in range(8)} == {(f"Body number {k} of a page", 0) for k in (0, 1)}
+    assert all(got[6000 + i][1] == 0 and "visit" in got[6000 + i][0] for i in range(6))
+    assert H.main_text(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>The text</p></article><section id='comments'><article class='comment'>reader says hi</article></section>", ["The text"]),
+        ("<article><p>The text</p></article><div class='comments'><article>" + "reader says a lot " * 30 + "</article></div>", ["The text"]),
+        ("<div class='sidebar'><article class='teaser'>Teaser</article></div><div class='content'><p>Real body of the page</p></div>", ["Real body of the page"]),
+        ("<div class='box'><article class='teaser'>Teaser</article></div><div class='text'><p>" + "Real body of the page. " * 4 + "</p></div>", ["Teaser", ("Real body of the page. " * 4).strip()]),
+        ("<form id='aspnetForm'><input type=hidden name=s><div><p>The whole page is in a form</p></div></form>", ["The whole page is in a form"]),
+        ("<p>A page of text</p><form><p>Your name</p><input><textarea></textarea></form>", ["A page of text"]),
+        ("<div class='post social-science'><p>On society</p></div>", ["On society"]),
+        ("<div class='post share'><p>Tell all</p></div><p>kept</p>", ["kept"]),
+        ("<div>" * 200 + "<nav>MENU</nav><p>Body</p>", ["Body"]),
+        ("<div class=list><article class=post><p>First post</p></article><article class=post><p>Second</p></article></div><article class=more>x</article>", ["First post", "Second"]),
+        ("<article class='story'><p>Main</p><div class='related-links'>More</div></article>", ["Main"]),
+    ],
+)
+def test_articles_and_names(page, want):
+    assert _text(page) == want
+
+
 def test_the_driver_pages_against_a_plain_reading(spark, small):
     pages = table(spark, small, "pages")
     got = {r.id: r.text for r in H.main_text(pages).collect()}
