@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every word contract here: space and U+0009 to U+000D.
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # local-cluster has executors apart
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), "checkpoints")
     sc.setCheckpointDir(local)
@@ -75,6 +76,30 @@ def place(df: DataFrame) -> Column:
     return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Add, for each column of `sums` (name: new name), its sum over the rows of the
+    same `group` that come before by `order`, null first.
+
+    No group meets in one task: rows are range-partitioned, rows alike in all of
+    these by a row number, so that a hot key spreads; each partition has sums of its
+    own, and the partitions' totals, a few rows each, are summed in turn. Rows alike
+    in group and order follow each other in any order. Written on the way.
+    """
+    by = [*group, *order]
+    serial, part = free_name(df, "serial"), free_name(df, "part")
+    there = written(df.withColumn(serial, F.monotonically_increasing_id()), "rows")  # a lost task finds the same numbers
+    there = there.repartitionByRange(*by, serial).sortWithinPartitions(*by, serial)
+    there = written(there.withColumn(part, F.spark_partition_id()).withColumn(serial, F.monotonically_increasing_id()), "sorted")
+    totals = there.groupBy(*group, part).agg(*[F.sum(c).alias(n) for c, n in sums.items()])
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = written(totals.select(*group, part, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums.values()]), "totals")
+    inside = Window.partitionBy(*group, part).orderBy(serial).rowsBetween(Window.unboundedPreceding, -1)
+    own = {n: free_name(df, f"own_{n}") for n in sums.values()}
+    out = there.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(own[n]) for c, n in sums.items()])
+    out = out.join(totals, [*group, part])
+    return out.select(*df.columns, *[(F.col(n) + F.col(own[n])).alias(n) for n in sums.values()])
+
+
 #: Parts into which a hot key is spread.
 SALTS = 64
 

@@ -89,22 +89,25 @@ SELECT page_id, url, text, length(text) AS n_chars, CAST(0 AS BIGINT) AS n_remov
 _NL = "chr(10)"
 OP9 = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest,
          coalesce(CAST(floor(turn / {chat.SEGMENT}.0) AS BIGINT), -1) AS segment FROM conversations
+), n AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, digest) - 1) // {chat.PART} AS part FROM t
 ), s AS (SELECT DISTINCT conv_id, role AS perspective FROM t), v AS (
-  SELECT t.*, s.perspective, role = perspective AS own,
+  SELECT n.*, s.perspective, role = perspective AS own,
          CASE WHEN role = perspective THEN '<|assistant|>' || {_NL} ELSE '<|user:' || role || '|>' || {_NL} END AS head,
          text || '<|end|>' || {_NL} AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM v
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY segment, turn NULLS FIRST, role, digest ROWS UNBOUNDED PRECEDING) AS stop FROM v
 )
-SELECT conv_id, perspective, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
-       string_agg(head || body, '' ORDER BY turn NULLS LAST, role, text) AS rendered,
+SELECT conv_id, perspective, segment, part, CAST(min(stop - length(head) - length(body)) AS BIGINT) AS start,
+       count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, digest) AS rendered,
        CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars,
        CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS mask_chars,
        coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (own), '') AS mask
-FROM o GROUP BY conv_id, perspective, segment
+FROM o GROUP BY conv_id, perspective, segment, part
 """
 
 

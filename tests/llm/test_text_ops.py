@@ -1,8 +1,9 @@
+import hashlib
 import itertools
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from framelake.llm import chat as C
 from framelake.llm import quality as Q
 from framelake.llm import secrets as X
+from framelake.llm import sql as SQL
 from framelake.llm import token_counts as W
 from framelake.llm.queries import vocabulary
 from framelake.llm.shared import table
@@ -133,51 +135,81 @@ def test_quality_edge_cases(spark):
 # --- chat -----------------------------------------------------------------------
 
 
-def _brute_chat(turns, segment):
+def _brute_chat(turns, segment=64, most=256):
+    """Whole dialogues, and their parts, in plain loops."""
     convs = defaultdict(list)
     for conv, turn, role, text in turns:
-        convs[conv].append((turn is None, turn or 0, role or "unknown", text or ""))
-    out = []
+        text = text or ""
+        convs[conv].append((turn is not None, turn or 0, role or "unknown", hashlib.md5(text.encode()).hexdigest(), text))
+    out, whole = [], {}
     for conv, said in convs.items():
-        parts = defaultdict(list)
-        for t in sorted(said):
-            parts[-1 if t[0] else t[1] // segment].append(t)
+        said.sort()
         for who in {t[2] for t in said}:
-            for part, ts in parts.items():
-                text, mask = "", []
-                for t in ts:
-                    text += "<|assistant|>\n" if t[2] == who else f"<|user:{t[2]}|>\n"
-                    start = len(text)
-                    text += t[3] + "<|end|>\n"
-                    if t[2] == who:
-                        mask.append((start, len(text)))
-                out.append((-1 if conv is None else conv, who, part, len(ts), len(mask), text, len(text), sum(b - a for a, b in mask), mask))
-    return sorted(out)
+            full, parts, number = "", {}, Counter()
+            for numbered, turn, role, _, text in said:
+                seg = turn // segment if numbered else -1
+                row = parts.setdefault((seg, number[seg] // most), [len(full), 0, 0, "", []])
+                number[seg] += 1
+                head = "<|assistant|>\n" if role == who else f"<|user:{role}|>\n"
+                body = text + "<|end|>\n"
+                row[1] += 1
+                row[3] += head + body
+                if role == who:
+                    row[2] += 1
+                    row[4].append((len(full) + len(head), len(full) + len(head) + len(body)))
+                full += head + body
+            whole[conv, who] = full
+            for (seg, part), (start, n, n_own, text, mask) in parts.items():
+                out.append((-1 if conv is None else conv, who, seg, part, start, n, n_own, text, len(text), sum(b - a for a, b in mask), mask))
+    return sorted(out), whole
+
+
+def _chat_rows(got):
+    return sorted(
+        (-1 if r.conv_id is None else r.conv_id, r.perspective, r.segment, r.part, r.start, r.n_turns, r.n_own, r.rendered, r.n_chars, r.mask_chars, [(m.start, m.end) for m in r.mask])
+        for r in got
+    )
 
 
 def test_every_perspective(spark):
     rng = random.Random(2)
     turns = [(c, t, rng.choice(["user", "assistant", "system", "Ann", None]), rng.choice(["hi", "naïve 😀 text", "", None, "two\nlines"])) for c in range(6) for t in range(rng.randint(1, 15))]
-    turns += [(None, 0, "user", "x"), (1, None, "user", "late"), (1, None, "Ann", "later"), *turns[:3]]
-    d = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id long, turn long, role string, text string, said string, mask string")
+    turns += [(None, 0, "user", "x"), (1, None, "user", "late"), (1, None, "Ann", "later"), (2, -5, "Ann", "early"), *turns[:3]]
+    d = spark.createDataFrame([(*t, "x", "y", "z", "w") for t in turns], "conv_id long, turn long, role string, text string, said string, mask string, conv string, _part string")
     for segment in (64, 4):
-        got = C.rotate(d, segment=segment).collect()
-        assert sorted((-1 if r.conv_id is None else r.conv_id, r.perspective, r.segment, r.n_turns, r.n_own, r.rendered, r.n_chars, r.mask_chars, [(m.start, m.end) for m in r.mask]) for r in got) == _brute_chat(turns, segment)
+        assert _chat_rows(C.rotate(d, segment=segment).collect()) == _brute_chat(turns, segment)[0]
     assert C.rotate(d.limit(0)).count() == 0
 
 
-def test_large_segments_are_dealt_over_parts(spark):
-    turns = [(1, 0 if k % 3 else None, "user" if k % 2 else "Ann", f"text {k % 10}") for k in range(300)] + [(2, 0, "user", "few")]
+def test_long_and_crowded_dialogues_keep_their_order(spark):
+    rng = random.Random(7)
+    turns = [(1, 0 if k % 3 else None, "user" if k % 2 else "Ann", f"text {k % 40}") for k in range(700)]  # turn numbers that repeat
+    turns += [(2, 0, "user", "few"), (2, 9000, "Ann", "late")]
+    turns += [(3, k, rng.choice(["user", "Bob"]), f"turn {k}") for k in range(900)]  # many segments
+    turns += [(4, 5, "user", "same")] * 300
     d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
     got = C.rotate(d, most=20).collect()
-    assert {r.part for r in got if r.conv_id == 2} == {0}
-    assert max(r.part for r in got) >= 5 and max(r.n_turns for r in got) < 60
-    for who in ("user", "Ann"):
-        own = [r for r in got if r.conv_id == 1 and r.perspective == who]
-        said = sorted(t for r in own for t in r.rendered.split("<|end|>\n")[:-1])
-        assert said == sorted(("<|assistant|>\n" if role == who else f"<|user:{role}|>\n") + text for c, _, role, text in turns if c == 1)
-        assert sum(r.n_own for r in own) == 150
-        assert all(r.rendered[m.start : m.end].endswith("<|end|>\n") for r in own for m in r.mask)
+    rows_, whole = _brute_chat(turns, most=20)
+    assert _chat_rows(got) == rows_
+    assert max(r.n_turns for r in got) <= 64 and max(r.part for r in got) > 10
+    for (conv, who), text in whole.items():
+        own = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, who)), key=lambda r: (r.segment, r.part))
+        assert "".join(r.rendered for r in own) == text
+        assert all(text[m.start : m.end].endswith("<|end|>\n") and text[: m.start].endswith("<|assistant|>\n") for r in own for m in r.mask)
+    assert _chat_rows(C.rotate(d).collect()) == _brute_chat(turns)[0]
+
+
+def test_the_statement_of_chats_agrees_where_turns_repeat(spark):
+    import duckdb
+    import pandas as pd
+
+    turns = [(1, 0 if k % 3 else None, "user" if k % 2 else "Ann", f"text {k % 40}") for k in range(1200)] + [(2, k, "ab"[k % 2], "x" * k) for k in range(150)]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}))
+    want = sorted(con.sql(SQL.OP9).fetchall())
+    got = sorted((*r[:10], ",".join(f"{m.start}:{m.end}" for m in r.mask)) for r in C.rotate(d).collect())
+    assert got == want
 
 
 # --- secrets --------------------------------------------------------------------
