@@ -10,9 +10,10 @@ ever enumerated. A shard never takes more than its cap; the words of its quota
 above that go to the source's other shards.
 
 Scale: word counts shrink each row to (id, source, size) before any shuffle. The
-tables of sources and of (source, shard) pairs are aggregates. Documents meet in
-windows only inside one (source, shard), whose number grows with the table, so a
-source with a third of all rows is spread over all shards.
+tables of sources and of (source, shard) pairs are aggregates; ranks and running sums
+over all sources are taken by range partitions, so that sources may be as many as
+hosts. Documents meet in windows only inside one (source, shard), whose number grows
+with the table, so a source with a third of all rows is spread over all shards.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, free_name, place, text_of, written
+from .shared import SPACE, WORD, free_name, place, running, text_of, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BLOCK = 32
+#: Words of a block. Quotients are ranked near the boundary alone, so blocks can be
+#: small, and a source of few words comes near its target too.
+BLOCK = 4
 SEED = 20240229
 #: Documents in a shard, over all sources, and the number of shards that keeps
 #: one window over a source's shards small. A size for tasks: no row is dropped.
@@ -57,38 +60,58 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     min(cap, level * weight) for one level, found from running sums over the
     sources in order of cap / weight.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    every = Window.partitionBy()
-    ratio = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    t = sources.withColumn("weight", weight.cast("long")).withColumn("cap", F.lit(repeats) * F.col("source_size"))
-    t = t.withColumn("ratio", F.col("cap") / F.col("weight"))
-    t = t.withColumn("total", F.sum("source_size").over(every)).withColumn("w_all", F.sum("weight").over(every))
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    t = t.withColumn("w_left", F.col("w_all") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    t = t.withColumn("level", F.col("left") / F.col("w_left"))
+    named = written(sources.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit(1).cast("long").alias("one")), "sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("at"), F.lit(len(weights))) + 1).cast("int"))
+    t = running(named, [], ["last", "source"], {"one": "at"}).withColumn("weight", weight.cast("long"))
+    t = t.withColumn("cap", F.lit(repeats) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = t.select("source", "source_size", "last", "weight", "cap", "ratio")
+    total, all_weights = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    t = running(t, [], ["ratio", "last", "source"], {"cap": "caps", "weight": "weights"})
+    level = (F.lit(total) - F.col("caps")) / (F.lit(all_weights) - F.col("weights"))
     # The level is that of the first source, in this order, that stays under its cap.
-    t = t.withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("source").isNull(), F.col("source")))).over(every))
-    return t.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    stays = t.select(level.alias("level"), "ratio", "last", "source").filter("level <= ratio")
+    level = stays.agg(F.min_by("level", F.struct("ratio", "last", "source"))).first()[0]
+    return t.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
+
+
+def brackets(votes: Column, votes_all: Column, n: Column, seats: Column) -> tuple[Column, Column]:
+    """Seats between which a party's lie: roundings at two divisors, one of which gives
+    the n parties with votes at most `seats` in all, the other at least that."""
+    usable, share = (votes > 0) & (seats > 0), votes / votes_all
+    low = F.when(usable, F.greatest(F.floor(share * (seats - n / 2) + 0.5) - 1, F.lit(0))).otherwise(0).cast("long")
+    high = F.when(usable, F.floor(share * (seats + n / 2) + 0.5) + 1).otherwise(0).cast("long")
+    return low, high
+
+
+def seats_of_sources(sources: DataFrame, seats: int) -> DataFrame:
+    """Add `quota`, the seats of each source by the quotients target / (k + 1/2), ties
+    in order of sources. As sainte_lague, but for parties that may be too many for one
+    task: sums are aggregates, and the open quotients are ranked by range."""
+    t = sources.withColumn("last", F.col("source").isNull())
+    everyone, n = t.agg(F.sum("target"), F.count(F.when(F.col("target") > 0, 1))).first()
+    low, high = brackets(F.col("target"), F.lit(everyone), F.lit(n), F.lit(seats))
+    t = written(t.withColumn("low", low).withColumn("high", high), "brackets")
+    still = max(seats, 0) - (t.agg(F.sum("low")).first()[0] or 0)
+    bids = t.filter("high > low").select("last", "source", "target", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
+    bids = bids.select((-F.col("target") / (F.col("k") + 0.5)).alias("bid"), "last", "source", F.lit(1).cast("long").alias("one"))
+    won = running(bids, [], ["bid", "last", "source"], {"one": "before"}).filter(F.col("before") < still)
+    won = won.groupBy("last", "source").agg(F.count("*").alias("won"))
+    out = t.alias("a").join(won.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
+    return out.select(*[F.col(f"a.{c}") for c in sources.columns], (F.col("a.low") + F.coalesce(F.col("b.won"), F.lit(0))).alias("quota"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: Column, order: list[Column]) -> DataFrame:
-    """Add `quota`, the integer seats of each party of a group.
+    """Add `quota`, the integer seats of each party of a group that one task holds.
 
     Seat k + 1 of a party has the quotient votes / (k + 1/2); the highest
-    quotients win, ties by `order`. Rounding at two divisors brackets the result:
-    one gives at most `seats` in all, the other at least that, and only the
-    quotients between them, about two a party, are ranked. A group without votes
-    or seats gets no quota.
+    quotients win, ties by `order`. Rounding at two divisors brackets the result, and
+    only the quotients between them, about two a party, are ranked. A group without
+    votes or seats gets no quota.
     """
     w = Window.partitionBy(*group)
     t = parties.withColumn("seats", F.greatest(seats.cast("long"), F.lit(0)))
     t = t.withColumn("votes_all", F.sum(votes).over(w).cast("double")).withColumn("n", F.sum(F.when(F.col(votes) > 0, 1).otherwise(0)).over(w))
-    usable = (F.col(votes) > 0) & (F.col("seats") > 0)
-    share = F.col(votes) / F.col("votes_all")
-    low = F.when(usable, F.greatest(F.floor(share * (F.col("seats") - F.col("n") / 2) + 0.5) - 1, F.lit(0))).otherwise(0).cast("long")
-    high = F.when(usable, F.floor(share * (F.col("seats") + F.col("n") / 2) + 0.5) + 1).otherwise(0).cast("long")
+    low, high = brackets(F.col(votes), F.col("votes_all"), F.col("n"), F.col("seats"))
     t = t.withColumn("low", low).withColumn("high", high)
     t = t.withColumn("open", F.col("seats") - F.sum("low").over(w)).withColumn("party", F.row_number().over(w.orderBy(*order)))
     bids = t.filter("high > low").select(*group, "party", "open", F.col(votes).alias("votes"), F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
@@ -126,9 +149,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     lines = written(sized.groupBy("source", "shard").agg(F.sum("size").alias("line")), "lines")
     sources = targets(lines.groupBy("source").agg(F.sum("line").alias("source_size")), weights, repeats)
-    name = [F.col("source").isNull(), F.col("source")]
-    blocks = F.round(F.sum("source_size").over(Window.partitionBy()) / block)
-    sources = sainte_lague(sources.withColumn("blocks", blocks), [], "target", F.col("blocks"), name)
+    blocks = lines.agg(F.round(F.sum("line") / block).cast("long")).first()[0] or 0
+    sources = written(seats_of_sources(sources, blocks), "quotas")
     shared = lines.alias("l").join(sources.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")))
     shared = shared.select("l.source", "l.shard", "l.line", "s.source_size", "s.target", "s.quota")
     shared = sainte_lague(shared.withColumnRenamed("quota", "blocks"), ["source"], "line", F.col("blocks"), [F.col("shard")])
@@ -142,7 +164,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shared = shared.withColumn("rooms", F.sum("room").over(of_source)).withColumn("excess", F.least(F.col("rooms"), F.sum(F.col("quota") * block - F.col("words")).over(of_source)))
     shared = shared.withColumn("upto", F.sum("room").over(of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     share = lambda upto: f"cast({upto} as decimal(19,0)) * cast(excess as decimal(19,0)) div cast(rooms as decimal(19,0))"
-    more = F.when((F.col("excess") > 0) & (F.col("rooms") > 0), F.expr(f"({share('upto')}) - ({share('(upto - room)')})")).otherwise(0)
+    more = F.expr(f"({share('upto')}) - ({share('(upto - room)')})")
+    more = F.when((F.col("excess") > 0) & (F.col("rooms") > 0), more).otherwise(0)
     shared = shared.select("source", "shard", "line", "source_size", "target", (F.col("words") + more).alias("words"))
     shared = shared.withColumn("rounds", F.when(F.col("line") > 0, F.expr("words div line")).otherwise(0)).withColumn("rest", F.col("words") - F.col("rounds") * F.col("line"))
     shared = shared.withColumn("start", F.when(F.col("line") > 0, F.pmod(number(seeded(seed, F.col("source"), F.col("shard"))), F.col("line"))).otherwise(0))

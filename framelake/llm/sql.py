@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from . import chat, mixing
 
-OP3 = rf"""
+
+def op3() -> str:
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS draw
@@ -47,10 +49,17 @@ WITH RECURSIVE d AS (
   FROM (SELECT party, shard, line, blocks, unnest(range(0, {mixing.REPEATS} * line // {mixing.BLOCK} + 3)) AS k FROM sh WHERE line > 0)
 ), swon AS (
   SELECT party, shard, count(*) AS quota FROM sbids WHERE rank <= blocks GROUP BY ALL
+), q0 AS (
+  SELECT sh.*, coalesce(quota, 0) * {mixing.BLOCK} AS asked, {mixing.REPEATS} * line AS most FROM sh LEFT JOIN swon ON swon.party = sh.party AND swon.shard = sh.shard
+), q1 AS (
+  SELECT *, CAST(sum(greatest(most - asked, 0)) OVER (PARTITION BY party) AS HUGEINT) AS rooms,
+         CAST(sum(greatest(asked - most, 0)) OVER (PARTITION BY party) AS HUGEINT) AS excess,
+         CAST(sum(greatest(most - asked, 0)) OVER (PARTITION BY party ORDER BY shard) AS HUGEINT) AS upto FROM q0
 ), q AS (
-  SELECT sh.*, least(coalesce(quota, 0) * {mixing.BLOCK}, {mixing.REPEATS} * line) AS words,
-         CASE WHEN line > 0 THEN CAST('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', coalesce(sh.source, ''), CAST(sh.shard AS VARCHAR))), 1, 8) AS BIGINT) % line ELSE 0 END AS start
-  FROM sh LEFT JOIN swon ON swon.party = sh.party AND swon.shard = sh.shard
+  SELECT *, least(asked, most) + CASE WHEN rooms > 0 THEN CAST(upto * least(excess, rooms) // rooms
+           - (upto - greatest(most - asked, 0)) * least(excess, rooms) // rooms AS BIGINT) ELSE 0 END AS words,
+         CASE WHEN line > 0 THEN CAST('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', coalesce(source, ''), CAST(shard AS VARCHAR))), 1, 8) AS BIGINT) % line ELSE 0 END AS start
+  FROM q1
 ), a AS (
   SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM p
 )
@@ -112,4 +121,4 @@ FROM o GROUP BY conv_id, perspective, segment, part
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_main_text": OP1, "op3_source_mixing": OP3, "op6_exact_dedup": OP6, "op9_chat_perspectives": OP9}
+    return {"op1_html_main_text": OP1, "op3_source_mixing": op3(), "op6_exact_dedup": OP6, "op9_chat_perspectives": OP9}

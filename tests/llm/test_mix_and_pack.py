@@ -3,13 +3,16 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framelake.llm import mixing as M
 from framelake.llm import packing as P
+from framelake.llm import sql as SQL
 from framelake.llm.queries import vocabulary
 
 from .helpers import docs, rows
@@ -74,6 +77,29 @@ def test_a_small_source_of_many_shards_meets_its_target(spark, monkeypatch):
     assert all(abs(taken[s] - t) <= M.BLOCK for s, t in target.items())
 
 
+@pytest.mark.parametrize("shard_docs", [4, 1024])
+def test_small_sources_and_the_statement_agree(spark, monkeypatch, shard_docs):
+    monkeypatch.setattr(M, "SHARD_DOCS", shard_docs)
+    rng = random.Random(12)
+    text = lambda n: " ".join(["w"] * n)
+    data = [(i, text(rng.randint(1, 60)), "en", "a", 0) for i in range(400)]
+    data += [(1000 + i, text(5), "en", "b", 0) for i in range(30)] + [(2000 + i, text(2), "en", "c", 0) for i in range(10)]
+    data += [(3000 + i, text(3), "en", f"host{i % 40:02}", 0) for i in range(240)]  # many sources of 18 words
+    data += [(4000, text(9), "en", None, 0), (4001, None, "en", "a", 0), (4002, "", "en", "empty", 0)]
+    got = M.mix(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["b"] == 450 and target["c"] <= 60
+    assert all(abs(taken[s] - t) <= M.BLOCK for s, t in target.items())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(data, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    want = {r[0]: r[1:] for r in con.sql(SQL.op3()).fetchall()}
+    assert {r.id: (r.size, r.source_size, r.target, r.taken) for r in got} == want
+
+
 def test_targets_cap_and_reshare(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 0, None: 7}
     got = {r.source: r.target for r in M.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")).collect()}
