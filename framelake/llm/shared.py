@@ -109,9 +109,14 @@ def salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
+def salt_of(*columns: str) -> Column:
+    """A row's salt as a bit."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), salt(*columns))
+
+
 def salt_bit(*columns: str) -> Column:
     """Aggregate: a bit for each salt that a group's rows have."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(*columns)))
+    return F.bit_or(salt_of(*columns))
 
 
 def salts(bits: str) -> Column:

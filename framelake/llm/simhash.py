@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, encoded, written
+from .shared import discard, encoded, salt, salt_bit, salt_of, salts, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -229,21 +229,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star gives every larger neighbour of a node its smallest neighbour,
     small-star does so for smaller neighbours, until nothing changes. Both are a
-    minimum per node, partially aggregated, and an equi-join that adaptive
-    execution can split; no neighbour list is gathered.
+    minimum per node, partially aggregated, and an equi-join; the centre of a star is
+    one key of all its links there, so the minima are repeated by the links' salts
+    and the links spread. No neighbour list is gathered.
     """
     big = lambda e: e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = written(big(edges).filter("u <> v").distinct(), "edges")
     n, last = e.count(), None
     while n:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Only links to larger nodes ask for a minimum: theirs are the salts that count.
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.bit_or(F.when(F.col("v") > F.col("u"), salt_of("v")).otherwise(0)).alias("bits"))
+        least = least.select("u", F.least("u", "v").alias("m"), F.explode(salts("bits")).alias("salt"))
         # Large-star: (v, m) for neighbours v above u; u's own smallest link is kept with it.
-        up = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e1 = up.filter("u <> v").distinct()
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"), salt("u").alias("salt"))
+        e1 = up.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small-star over links to smaller neighbours.
-        down = e1.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e1.join(down, "u").select(F.greatest("v", "u").alias("x"), "u", "v", "m")
+        down = e1.groupBy("u").agg(F.min("v").alias("m"), salt_bit("v").alias("bits"))
+        spread = down.select("u", "m", F.explode(salts("bits")).alias("salt"))
+        hung = e1.withColumn("salt", salt("v")).join(spread, ["u", "salt"]).select("v", "m")
         e2 = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         e, done = written(e2.distinct(), "edges"), e
         discard(done)
@@ -271,10 +275,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle, uid), "prints")
     best = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
-    distinct = written(rows.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n")), "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n"), salt_bit("uid").alias("copies")), "distinct")
     found = components(links(distinct.select("fp"), distinct.count(), radius, tile))
-    members = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n")
+    members = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n", "copies")
     members = written(members, "members")
-    settled = members.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("size"))
-    by_print = members.select("fp", "root").join(settled, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep_uid"), F.col("size").alias("component_size"))
-    return rows.join(by_print, "fp").select("id", "uid", "fp", "component_id", "keep_uid", "component_size")
+    # A component of many fingerprints is one key of them all: what is settled for it
+    # is repeated by its members' salts.
+    settled = members.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("size"), salt_bit("fp").alias("bits"))
+    settled = settled.select("root", "best", "size", F.explode(salts("bits")).alias("salt"))
+    by_print = members.select("fp", "root", "copies", salt("fp").alias("salt")).join(settled, ["root", "salt"])
+    # So is what is settled for a fingerprint, by the salts of the rows that share it.
+    by_print = by_print.select("fp", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep_uid"), F.col("size").alias("component_size"), F.explode(salts("copies")).alias("salt"))
+    return rows.withColumn("salt", salt("uid")).join(by_print, ["fp", "salt"]).select("id", "uid", "fp", "component_id", "keep_uid", "component_size")
