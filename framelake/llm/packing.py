@@ -176,6 +176,11 @@ def near(there: int, waste: int) -> int:
     return out
 
 
+def mirrored(sums: int, room: int) -> int:
+    """The set of room - t for t in `sums`."""
+    return int(f"{sums:0{room + 1}b}"[::-1], 2)
+
+
 def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = ()) -> Iterator[tuple[int, ...] | None]:
     """Every undominated filling of `room` from sizes (descending) with stock, once,
     `but` for those given: the least waste first, then the largest lengths. None
@@ -187,7 +192,9 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
     into another's) if and only if a length left out can stand for some of its
     lengths, whose sum is at most it and at least it less the waste. Lengths are
     chosen in falling order and such a length is longer than those it stands for,
-    so a start that is dominated is known at once and not followed.
+    so a start that is dominated is known at once and not followed. The next length
+    to take is read off a bit set: those in stock that leave a sum which lengths up to
+    them reach.
     """
     n = len(sizes)
     top = bisect.bisect_left(sizes, -room, key=lambda s: -s)
@@ -196,9 +203,11 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
         extend_sums(known, sizes, stock, room, n - top)
     # Own copies: the search changes the stock before it asks for the next filling.
     values, counts, reach = sizes[top:], stock[top:], known[: n - top + 1]
-    m = len(values)
+    m, every = len(values), (1 << room + 1) - 1
+    at = {s: k for k, s in enumerate(values)}
     there = sum(1 << s for s, c in zip(values, counts, strict=True) if c)
-    totals = reach[m] & ((1 << room + 1) - 1)
+    back: dict[int, int] = {}
+    totals = reach[m] & every
     while totals:
         total = totals.bit_length() - 1
         totals ^= 1 << total
@@ -218,17 +227,28 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
             if often < 0:
                 k = max(k, bisect.bisect_left(values, -left, key=lambda s: -s))
             # The next length, and how often, that leaves a sum which smaller ones reach.
-            while k < m and reach[m - k] >> left & 1:
-                s = values[k]
-                if often < 0:
+            while often > 0 and not reach[m - k - 1] >> left - often * values[k] & 1:
+                often -= 1
+            if often <= 0:
+                if often == 0:
+                    k += 1
+                if k >= m:
+                    continue
+                if k not in back:
+                    back[k] = mirrored(reach[m - k] & every, room)
+                able = there & (back[k] >> room - left) & ((2 << values[k]) - 1)
+                while able:
+                    s = able.bit_length() - 1
+                    able ^= 1 << s
+                    k = at[s]
                     often = min(counts[k], left // s)
-                while often > 0 and not reach[m - k - 1] >> left - often * s & 1:
-                    often -= 1
-                if often > 0:
-                    break
-                k, often = k + 1, -1
-            else:
-                continue
+                    while often > 0 and not reach[m - k - 1] >> left - often * s & 1:
+                        often -= 1
+                    if often > 0:
+                        break
+                else:
+                    continue
+            s = values[k]
             levels.append((k, often - 1, left, out, some, more) if often > 1 else (k + 1, -1, left, out, some, more))
             chosen.append((s, often))
             if often == counts[k]:
