@@ -22,6 +22,11 @@ from framelake.llm.queries import vocabulary
 from framelake.llm.shared import free_name, place, table, written
 from framelake.session import ship
 
+#: Differing bits within which the stage takes fingerprints for near copies: two more
+#: than the operator's own default, as copies of which a tenth is changed differ by
+#: five or more.
+NEAR_RADIUS = 6
+
 #: SQL has neither the hash of the fingerprints nor the vocabulary's merges.
 ORACLE_SQL = None
 
@@ -52,7 +57,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
-    return _without(docs, lambda d, uid: simhash.near_duplicates(d, uid=uid).filter("keep_uid <> uid"))
+    return _without(docs, lambda d, uid: simhash.near_duplicates(d, uid=uid, radius=NEAR_RADIUS).filter("keep_uid <> uid"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
