@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import itertools
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -35,8 +36,8 @@ from .shared import slices, written
 LENGTH = 1024
 END = 2
 #: Pieces in a group: what one task packs at once. Each group may leave one
-#: sequence unfilled, so larger groups waste less.
-GROUP_PIECES = 1 << 14
+#: sequence unfilled, and each is searched twice, so larger groups waste less.
+GROUP_PIECES = 1 << 15
 MOST_TASKS = 20_000
 #: Branches that the search of one group may open before its incumbent stands.
 NODES = 4000
@@ -155,7 +156,10 @@ def extend_sums(known: list[int], sizes: list[int], stock: list[int], room: int,
     n = len(sizes)
     for j in range(len(known), least + 1):
         sums, s = known[-1], sizes[n - j]
-        if sums != every and s <= room:
+        if sums == every:
+            known.extend([every] * (least + 1 - j))
+            return
+        if s <= room:
             most, unit = min(stock[n - j], room // s), 1
             while most:
                 unit = min(unit, most)
@@ -181,7 +185,9 @@ def mirrored(sums: int, room: int) -> int:
     return int(f"{sums:0{room + 1}b}"[::-1], 2)
 
 
-def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = ()) -> Iterator[tuple[int, ...] | None]:
+def fillings(
+    sizes: list[int], stock: list[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = (), where: dict[int, int] | None = None
+) -> Iterator[tuple[int, ...] | None]:
     """Every undominated filling of `room` from sizes (descending) with stock, once,
     `but` for those given: the least waste first, then the largest lengths. None
     marks a step without one.
@@ -204,8 +210,9 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
     # Own copies: the search changes the stock before it asks for the next filling.
     values, counts, reach = sizes[top:], stock[top:], known[: n - top + 1]
     m, every = len(values), (1 << room + 1) - 1
-    at = {s: k for k, s in enumerate(values)}
-    there = sum(1 << s for s, c in zip(values, counts, strict=True) if c)
+    if where is None:
+        where = {s: k for k, s in enumerate(sizes)}
+    there = sum(map((1).__lshift__, itertools.compress(values, counts)))
     back: dict[int, int] = {}
     totals = reach[m] & every
     while totals:
@@ -240,7 +247,7 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
                 while able:
                     s = able.bit_length() - 1
                     able ^= 1 << s
-                    k = at[s]
+                    k = where[s] - top
                     often = min(counts[k], left // s)
                     while often > 0 and not reach[m - k - 1] >> left - often * s & 1:
                         often -= 1
@@ -262,7 +269,7 @@ def fillings(sizes: list[int], stock: list[int], room: int, known: list[int] | N
                 levels.append((k + 1, -1, left - often * s, out, some, more))
 
 
-def likely(sizes: list[int], stock: list[int], room: int, width: int = EARLY, tries: int = 24) -> list[tuple[int, ...]]:
+def likely(sizes: list[int], stock: list[int], room: int, where: dict[int, int], width: int = EARLY, tries: int = 24) -> list[tuple[int, ...]]:
     """A few fillings that often leave lengths which pack well: what a branch tries
     first in the second search, before all the others.
 
@@ -270,33 +277,31 @@ def likely(sizes: list[int], stock: list[int], room: int, width: int = EARLY, tr
     followed by every length again and again that is the largest to fit; exact pairs
     join them. The least waste comes first, then the fewest and largest lengths.
     """
-    live = [s for s, n in zip(sizes, stock, strict=True) if n and s <= room]
+    top = bisect.bisect_left(sizes, -room, key=lambda s: -s)
+    live = list(itertools.compress(sizes[top:], stock[top:]))
     if not live:
         return [()]
-    count = {s: n for s, n in zip(sizes, stock, strict=True) if n}
     rising = live[::-1]
     smallest = rising[0]
     found: dict[tuple[int, ...], int] = {}
 
-    def extend(used: list[int], left: int) -> None:
+    for first in dict.fromkeys([*live[:tries], *live[tries :: max(1, len(live) // tries)]]):
+        used, left = [first], room - first
         while left >= smallest:
             k = bisect.bisect_right(rising, left) - 1
-            while k >= 0 and (rising[k] in used and used.count(rising[k]) >= count[rising[k]]):
+            while k >= 0 and rising[k] in used and used.count(rising[k]) >= stock[where[rising[k]]]:
                 k -= 1
             if k < 0:
                 break
             used.append(rising[k])
             left -= rising[k]
-        found.setdefault(tuple(sorted(used, reverse=True)), left)
-
-    firsts = dict.fromkeys([*live[:tries], *live[tries :: max(1, len(live) // tries)]])
-    for first in firsts:
-        extend([first], room - first)
-    exact = [s for s in live if 2 * s >= room and (room - s in count) and (room != 2 * s or count[s] > 1)]
-    for first in exact[:width]:
+        used.sort(reverse=True)
+        found.setdefault(tuple(used), left)
+    pairs = (s for s in live if 2 * s >= room and room - s in where and stock[where[room - s]] > (room == 2 * s))
+    for first in itertools.islice(pairs, width):
         found.setdefault((first, room - first), 0)
     kept: list[tuple[int, ...]] = []
-    for f in sorted(found, key=lambda f: (found[f], len(f), tuple(-s for s in f))):
+    for f in sorted(sorted(found, reverse=True), key=lambda f: (found[f], len(f))):
         if not any(dominates(g, f) for g in kept):
             kept.append(f)
             if len(kept) == width:
@@ -398,8 +403,8 @@ def search(stock: Counter, room: int, incumbent: list[list[int]], bound: int, ea
             change(head, -1)
             gap = room - sizes[head]
             extend_sums(known, sizes, left, room, n - bisect.bisect_left(sizes, -gap, key=lambda s: -s))
-            first = likely(sizes, left, gap) if early else []
-            options = first, fillings(sizes, left[:], gap, known[:], tuple(first))
+            first = likely(sizes, left, gap, where) if early else []
+            options = first, fillings(sizes, left[:], gap, known[:], tuple(first), where)
             change(head, 1)
         opened += 1
         before = waste
