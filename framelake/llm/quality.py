@@ -8,21 +8,23 @@ characters stay, a word that repeats the one before is marked), each hashed into
 2^BITS buckets. A bucket's value is 1 + ln(count), and the vector has length one.
 Only the text makes features.
 
-Training reads a bounded sample of labelled rows, chosen by a hash of the id;
-the weights are one vector of fixed size, which the scoring tasks get by
+Training reads a bounded sample of labelled rows, chosen by a hash of the id, in the
+order of another hash. Its vectors stay in the shared folder: the driver holds them
+where they are few bytes and streams them by partition, once a pass, where texts are
+long. The weights are one vector of fixed size, which the scoring tasks get by
 broadcast. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoded, slices
+from .shared import encoded, slices, written
 
 BITS = 18
 #: Labelled documents that training reads at most.
@@ -33,6 +35,10 @@ EPOCHS = 4
 UPDATES = 16_000
 THRESHOLD = 0.3
 MOST_TEXT = 4 << 20
+#: Bytes of the sample's vectors that the driver holds at most.
+HELD = 64 << 20
+#: Seed of the order in which training sees the sample.
+ORDER = 7
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x100000001B3
 
@@ -105,7 +111,24 @@ def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return index.astype(np.int64), value / np.sqrt(value @ value)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+class Sample:
+    """The rows (buckets, values, label) of a written sample, in the order of a hash;
+    each iteration gives them anew, from memory or from the table."""
+
+    def __init__(self, table: DataFrame, held: int = HELD) -> None:
+        self.count, size = table.agg(F.count("*"), F.sum(F.length("i") + F.length("x"))).first()
+        self.table = table.orderBy(F.xxhash64(F.lit(ORDER), "id"), "id")
+        self.rows = self.table.collect() if (size or 0) <= held else None
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for r in self.table.toLocalIterator() if self.rows is None else self.rows:
+            yield np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float), r["y"]
+
+
+def train(rows: Collection[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
     """FTRL-proximal over the rows (buckets, values, label); the last weight is the
     intercept. Classes count alike, so that a rare one is learnt."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
@@ -134,12 +157,13 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(text.cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS, bits: int = BITS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS, bits: int = BITS, held: int = HELD) -> np.ndarray:
     """Learn the weights from a sample of at most `sample` labelled documents,
     those of the smallest hashes among ids that are not held out. A label that is
     neither 0 nor 1 is not used; of several labels of an id the smallest counts.
-    Without labels every score is one half. The features come to the driver: at most
-    `sample` sparse vectors, about 6 KB each for texts of a few thousand characters."""
+    Without labels every score is one half. The sample's vectors, `sample` at most but
+    as long as their texts make them, are a table; the driver holds `held` bytes of
+    them at most and streams them otherwise, with the same result."""
     usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1))
     chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
@@ -157,11 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
     made = texts.mapInArrow(run, f"id {kind}, y int, i binary, x binary")
     # Of repeated rows of an id one is used, which keeps the sample's bound.
-    rows = made.groupBy("id").agg(F.min(F.struct("i", "x", "y")).alias("r")).select("id", "r.*").collect()
-    rows.sort(key=lambda r: str(r["id"]))
-    spread = np.random.default_rng(7).permutation(len(rows))
-    epochs = max(EPOCHS, -(-UPDATES // max(len(rows), 1)))
-    return train([(np.frombuffer(rows[k]["i"], "<i4").astype(np.int64), np.frombuffer(rows[k]["x"], "<f4").astype(float), rows[k]["y"]) for k in spread], bits, epochs)
+    rows = Sample(written(made.groupBy("id").agg(F.min(F.struct("i", "x", "y")).alias("r")).select("id", "r.*"), "sample"), held)
+    return train(rows, bits, max(EPOCHS, -(-UPDATES // max(len(rows), 1))))
 
 
 def score_column(docs: DataFrame, weights: np.ndarray, text: Column, bits: int = BITS) -> Column:

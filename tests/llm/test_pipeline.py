@@ -67,7 +67,7 @@ def test_exact_stage_keeps_one_of_each_group(stages):
 def test_near_stage_keeps_one_of_each_component(stages):
     data = _rows(stages[2])
     prints = [_brute_print(r["text"]) for r in data]
-    roots = components(len(data), [(i, j) for i in range(len(data)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    roots = components(len(data), [(i, j) for i in range(len(data)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= P.NEAR_RADIUS])
     best = defaultdict(list)
     for r, root in zip(data, roots, strict=True):
         best[root].append((r["doc_id"] is None, r["doc_id"] or 0))

@@ -105,6 +105,78 @@ def test_training_separates_and_follows_the_update_rule():
     assert w[1] == pytest.approx(-(g + 0.02) / ((1 + abs(g)) / 0.5 + 0.1), rel=1e-5)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mix(h):
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+    return h ^ h >> 33
+
+
+def _poly(codes):
+    return _mix(sum((c + 1) * pow(0x100000001B3, k, 1 << 64) for k, c in enumerate(codes)) & _ALL)
+
+
+def _plain_features(text, bits):
+    """Buckets and values by a dictionary, a word at a time."""
+    kind = lambda c: 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+    words, shapes, before = [], [], None
+    for w in (text or "").encode().split():
+        words.append(_poly(w))
+        kinds = [kind(c) for c in w]
+        shape = _poly([k for j, k in enumerate(kinds) if not j or k != kinds[j - 1]])
+        shapes.append(shape ^ 0x9E3779B97F4A7C15 if w == before else shape)
+        before = w
+    pairs = lambda h, s: [_mix((a * 0xFF51AFD7ED558CCD & _ALL) + (b ^ s) & _ALL) for a, b in zip(h, h[1:])]  # noqa: E731, B905
+    grams = [_mix(h ^ 0x1B873593) for h in words] + pairs(words, 0x2545F4914F6CDD1D)
+    grams += [_mix(h ^ 0x165667B19E3779F9) for h in shapes] + pairs(shapes, 0x27D4EB2F165667C5)
+    value = {k: 1 + math.log(n) for k, n in Counter(g >> 64 - bits for g in grams).items()}
+    norm = math.sqrt(sum(v * v for v in value.values()))
+    return {k: v / norm for k, v in value.items()}
+
+
+def _plain_train(rows_, bits, epochs, alpha=0.5, beta=1.0, l1=0.02, l2=0.1):
+    """The updates, a coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    ones = sum(y for _, y in rows_)
+    worth = (len(rows_) / (2 * max(len(rows_) - ones, 1)), len(rows_) / (2 * max(ones, 1)))
+    for _ in range(epochs):
+        for x, y in rows_:
+            x = {**{k: float(np.float32(v)) for k, v in x.items()}, 1 << bits: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * worth[y] * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in [*z, 1 << bits]}
+
+
+def test_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(Q, "UPDATES", 200)
+    rng, bits = random.Random(6), 14
+    texts = [" ".join(rng.choice([*WORDS, "Aa1", "Ünï", "99", "!!", "x-y"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    texts[3:6] = [None, "", "one"]
+    texts[7] = "long words here " * 3000
+    data = [(i, t, "en", "s", 0, *["x"] * 9) for i, t in enumerate(texts)]
+    d = docs(spark, [*data, *data[:5]])
+    labels = spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = [_plain_features(t, bits) for t in texts]
+    for t, f in zip(texts, found, strict=True):
+        index, value = Q.features(t or "", bits)
+        assert dict(zip(index.tolist(), value.tolist(), strict=True)) == pytest.approx(f)
+    learnt = labels.filter(~Q.held_out("doc_id")).orderBy(F.xxhash64(F.lit(Q.ORDER), "doc_id")).collect()
+    w = _plain_train([(found[r.doc_id], r.quality) for r in learnt], bits, max(Q.EPOCHS, -(-200 // len(learnt))))
+    got = Q.fit(d, labels, bits=bits)
+    assert np.array_equal(got, Q.fit(d, labels, bits=bits, held=0))  # streamed
+    scores = {r.doc_id: r.s for r in d.select("doc_id", Q.score_column(d, got, F.col("text"), bits).alias("s")).collect()}
+    for i, f in enumerate(found):
+        want = 1 / (1 + math.exp(-(w[1 << bits] + sum(w.get(k, 0.0) * v for k, v in f.items()))))
+        assert scores[i] == pytest.approx(want, abs=1e-5)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
