@@ -11,17 +11,32 @@ def likeliest(row: Column) -> Column:
     return (F.array_position(row, F.array_max(row)) - 1).cast("int")
 
 
-def decode_array(steps: Column, listed: Column) -> Column:
-    """(text, score) of an array of per-step class probabilities.
+def decode_best(best: Column, listed: Column) -> Column:
+    """(text, score) of an array of (c, p), each step's likeliest class and its
+    probability.
 
     A class counts where it differs from the step before, is not the blank (0) and
-    is in the list; the score is the mean probability of those, 0 without any.
+    is in the list; the score is the mean probability of those, 0 without any. One
+    fold that carries the class before, so the work grows with the steps alone.
     """
-    best = F.transform(steps, lambda row: F.struct(likeliest(row).alias("c"), F.array_max(row).cast("double").alias("p")))
-    fresh = F.filter(F.transform(best, lambda s, i: F.struct(s["c"].alias("c"), s["p"].alias("p"), ((i == 0) | (F.get(best, i - 1)["c"] != s["c"])).alias("new"))), lambda s: s["new"] & (s["c"] > 0) & (s["c"] < F.size(listed)))
-    text = F.array_join(F.transform(fresh, lambda s: F.element_at(listed, s["c"] + 1)), "")
-    score = F.when(F.size(fresh) > 0, F.aggregate(fresh, F.lit(0.0), lambda a, s: a + s["p"]) / F.size(fresh)).otherwise(0.0)
-    return F.struct(text.alias("text"), score.alias("score"))
+    zero = F.struct(F.lit(-1).alias("before"), F.lit("").alias("text"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def add(acc: Column, s: Column) -> Column:
+        counts = (s["c"] != acc["before"]) & (s["c"] > 0) & (s["c"] < F.size(listed))
+        return F.struct(
+            s["c"].alias("before"),
+            F.when(counts, F.concat(acc["text"], F.element_at(listed, s["c"] + 1))).otherwise(acc["text"]).alias("text"),
+            (acc["sum"] + F.when(counts, s["p"]).otherwise(0.0)).alias("sum"),
+            (acc["n"] + F.when(counts, 1).otherwise(0)).alias("n"),
+        )
+
+    done = lambda a: F.struct(a["text"].alias("text"), F.when(a["n"] > 0, a["sum"] / a["n"]).otherwise(0.0).alias("score"))
+    return F.aggregate(best, zero, add, done)
+
+
+def decode_array(steps: Column, listed: Column) -> Column:
+    """The same of an array of per-step class probabilities."""
+    return decode_best(F.transform(steps, lambda row: F.struct(likeliest(row).alias("c"), F.array_max(row).cast("double").alias("p"))), listed)
 
 
 def decode(logits: DataFrame, crop: str, listed: Column) -> DataFrame:

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, ReadConfig
 from . import imageops as im
-from .models import Detector
+from .models import Detector, Recogniser
 
 BOX = "struct<y:double,x:double,id:int,box:array<struct<x:double,y:double>>,score:double>"
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+STEPS = "array<struct<c:int,p:double>>"
+STEP_TYPE = pa.list_(pa.struct([("c", pa.int32()), ("p", pa.float64())]))
 _BOX = pa.struct([("y", pa.float64()), ("x", pa.float64()), ("id", pa.int32()), ("box", pa.list_(POINT)), ("score", pa.float64())])
 
 
@@ -62,47 +64,92 @@ def quads_of(prob: np.ndarray, width: int, height: int, config: ReadConfig = DEF
     return out
 
 
-def frame_quads(img: np.ndarray, detector: Detector, config: ReadConfig = DEFAULT) -> list[tuple[np.ndarray, float]]:
-    """The quads of a frame and of all its tiles, in frame coordinates."""
+def tile_maps(img: np.ndarray, detector: Detector, config: ReadConfig = DEFAULT) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """(x, y, w, h, probability map) of a frame as a whole and of its tiles. A tile
+    whose output is no map has none: the read goes on without it."""
     out = []
     for x, y, w, h in tile_grid(img.shape[1], img.shape[0], config):
         tensor, _, _ = im.detector_input(img[y : y + h, x : x + w], config.det_width, config.det_height)
-        prob = detector(tensor)
-        if prob.ndim != 2:
-            raise ValueError(f"a probability map has shape {prob.shape}")
-        out += [(q + (x, y), s) for q, s in quads_of(prob, w, h, config)]
+        prob = np.asarray(detector(tensor))
+        if prob.ndim == 2 and prob.size:
+            out.append((x, y, w, h, prob))
     return out
 
 
-def detect(frames: DataFrame, detector: Detector, config: ReadConfig = DEFAULT) -> DataFrame:
-    """Add `boxes`, an array of (y, x, id, box, score) in the order of detection, and
-    det_ms, the time that took. The frames' other columns, pixels too, pass through."""
+def frame_quads(img: np.ndarray, detector: Detector, config: ReadConfig = DEFAULT) -> list[tuple[np.ndarray, float]]:
+    """The quads of a frame and of all its tiles, in frame coordinates."""
+    return placed_quads(tile_maps(img, detector, config), config)
+
+
+def placed_quads(maps: list[tuple[int, int, int, int, np.ndarray]], config: ReadConfig) -> list[tuple[np.ndarray, float]]:
+    return [(q + (x, y), s) for x, y, w, h, prob in maps for q, s in quads_of(prob, w, h, config)]
+
+
+def best_steps(output: np.ndarray) -> list[dict]:
+    """Each step's first likeliest class and its probability: all that decoding needs of
+    a crop's steps x classes output. An output of another shape is no step, so that its
+    crop reads as empty and the read goes on."""
+    output = np.asarray(output)
+    if output.ndim != 2 or not output.shape[1]:
+        return []
+    best = output.argmax(axis=1)
+    return [{"c": c, "p": p} for c, p in zip(best.tolist(), output[np.arange(len(best)), best].tolist(), strict=True)]
+
+
+def read_crops(recogniser: Recogniser, crops: list[np.ndarray], config: ReadConfig) -> list[list[dict]]:
+    """The steps of each crop; a crop that the recogniser has no output for has none."""
+    blank = np.zeros((config.rec_height, config.rec_width, 3), np.float32)
+    outputs = recogniser([im.letterbox(c, config.rec_width, config.rec_height) if c.size else blank for c in crops])
+    steps = [best_steps(o) for o in outputs[: len(crops)]]
+    return steps + [[] for _ in crops[len(steps) :]]
+
+
+def detect_by(frames: DataFrame, detector: Detector, configs: list[ReadConfig]) -> DataFrame:
+    """A row per frame and setting, in which only what follows the model may differ:
+    `setting` (its place in `configs`), `boxes`, an array of (y, x, id, box, score) in
+    the order of detection, and det_ms, the time of the model and of that setting's
+    boxes. The model sees a frame once. The frames' other columns, pixels too, pass
+    through."""
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, took = [], []
             for r in range(b.num_rows):
                 get = lambda n: b.column(names.index(n))[r].as_py()  # noqa: B023, E731
                 img = im.frame_view(get("bgr"), get("width"), get("height"), get("stride"))
                 start = time.perf_counter()
-                quads = frame_quads(img, detector, config)
-                took.append(1000 * (time.perf_counter() - start))
-                found.append([{"y": float(q[0, 1]), "x": float(q[0, 0]), "id": i, "box": [{"x": float(x), "y": float(y)} for x, y in q], "score": s} for i, (q, s) in enumerate(quads)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_BOX)), pa.array(took, pa.float64())], names=[*names, "boxes", "det_ms"])
+                maps = tile_maps(img, detector, configs[0])
+                model = time.perf_counter() - start
+                for k, config in enumerate(configs):
+                    start = time.perf_counter()
+                    quads = placed_quads(maps, config)
+                    took = 1000 * (model + time.perf_counter() - start)
+                    found = [
+                        {"y": float(q[0, 1]), "x": float(q[0, 0]), "id": i, "box": [{"x": float(x), "y": float(y)} for x, y in q], "score": s}
+                        for i, (q, s) in enumerate(quads)
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.slice(r, 1).columns, pa.array([k], pa.int32()), pa.array([found], pa.list_(_BOX)), pa.array([took], pa.float64())],
+                        names=[*names, "setting", "boxes", "det_ms"],
+                    )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.mapInArrow(run, f"{schema}, boxes array<{BOX}>, det_ms double")
+    return frames.mapInArrow(run, f"{schema}, setting int, boxes array<{BOX}>, det_ms double")
+
+
+def detect(frames: DataFrame, detector: Detector, config: ReadConfig = DEFAULT) -> DataFrame:
+    """The boxes of every frame by one setting."""
+    return detect_by(frames, detector, [config]).drop("setting")
 
 
-def recognise(frames: DataFrame, recogniser, config: ReadConfig = DEFAULT) -> DataFrame:  # noqa: ANN001
+def recognise(frames: DataFrame, recogniser: Recogniser, config: ReadConfig = DEFAULT) -> DataFrame:
     """Suppress covered quads of `boxes`, crop the rest and read them: pixels go,
-    `reads` comes, an array of (seq, box, steps), with rec_ms, the time of
-    recognition alone, and n_crops. A frame without boxes is read as one box that
-    spans it."""
+    `reads` comes, an array of (seq, box, steps: likeliest class and probability of
+    each), with rec_ms, the time of recognition alone, and n_crops. Class scores stay
+    in the worker. A frame without boxes is read as one box that spans it."""
     names = frames.columns
     kept = [n for n in names if n not in ("bgr", "boxes")]
-    read = pa.struct([("seq", pa.int32()), ("box", pa.list_(POINT)), ("steps", pa.list_(pa.list_(pa.float32())))])
+    read = pa.struct([("seq", pa.int32()), ("box", pa.list_(POINT)), ("steps", STEP_TYPE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,11 +165,11 @@ def recognise(frames: DataFrame, recogniser, config: ReadConfig = DEFAULT) -> Da
                     h, w = img.shape[:2]
                     quads, crops = [np.array([[0, 0], [w, 0], [w, h], [0, h]], float)], [img]
                 start = time.perf_counter()
-                steps = recogniser([im.letterbox(c, config.rec_width, config.rec_height) if c.size else np.zeros((config.rec_height, config.rec_width, 3), np.float32) for c in crops])
+                steps = read_crops(recogniser, crops, config)
                 took.append(1000 * (time.perf_counter() - start))
                 crops_of.append(len(crops))
-                reads.append([{"seq": k, "box": [{"x": float(x), "y": float(y)} for x, y in q], "steps": s.tolist()} for k, (q, s) in enumerate(zip(quads, steps, strict=True))])
+                reads.append([{"seq": k, "box": [{"x": float(x), "y": float(y)} for x, y in q], "steps": s} for k, (q, s) in enumerate(zip(quads, steps, strict=True))])
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(reads, pa.list_(read)), pa.array(took, pa.float64()), pa.array(crops_of, pa.int32())], names=[*kept, "reads", "rec_ms", "n_crops"])
 
     schema = ", ".join(f"`{n}` {frames.schema[n].dataType.simpleString()}" for n in kept)
-    return frames.mapInArrow(run, f"{schema}, reads array<struct<seq:int,box:array<struct<x:double,y:double>>,steps:array<array<float>>>>, rec_ms double, n_crops int")
+    return frames.mapInArrow(run, f"{schema}, reads array<struct<seq:int,box:array<struct<x:double,y:double>>,steps:{STEPS}>>, rec_ms double, n_crops int")

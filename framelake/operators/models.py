@@ -16,6 +16,9 @@ import numpy as np
 Detector = Callable[[np.ndarray], np.ndarray]
 Recogniser = Callable[[list[np.ndarray]], list[np.ndarray]]
 
+#: What a model file's output of a wrong shape stands for.
+NOTHING = np.zeros((0, 0), dtype=np.float32)
+
 
 def ink_detector(img: np.ndarray) -> np.ndarray:
     """Darkness as probability."""
@@ -51,26 +54,24 @@ def _session(path: str):  # noqa: ANN202
 
 def onnx_detector(path: str) -> Detector:
     """A detector from an ONNX file (1 x 3 x H x W in, 1 x 1 x H x W out), loaded once
-    in each worker. The file must be where every executor can read it."""
+    in each worker. The file must be where every executor can read it. An output of
+    another shape is no map, and a read goes on without it."""
 
     def run(img: np.ndarray) -> np.ndarray:
         s = _session(path)
         out = s.run(None, {s.get_inputs()[0].name: img.transpose(2, 0, 1)[None].astype(np.float32)})[0]
-        if out.ndim != 4 or out.shape[:2] != (1, 1):
-            raise ValueError(f"a detector's output has shape {out.shape}")
-        return out[0, 0]
+        return out[0, 0] if out.ndim == 4 and out.shape[:2] == (1, 1) else NOTHING
 
     return run
 
 
 def onnx_recogniser(path: str) -> Recogniser:
-    """A recogniser from an ONNX file (1 x 3 x H x W in, 1 x steps x classes out)."""
+    """A recogniser from an ONNX file (1 x 3 x H x W in, 1 x steps x classes out).
+    An output of another shape has no steps, and its crop reads as empty."""
 
     def run(crops: list[np.ndarray]) -> list[np.ndarray]:
         s = _session(path)
         outs = [s.run(None, {s.get_inputs()[0].name: c.transpose(2, 0, 1)[None].astype(np.float32)})[0] for c in crops]
-        if any(o.ndim != 3 or o.shape[0] != 1 for o in outs):
-            raise ValueError("a recogniser's output has a wrong shape")
-        return [o[0] for o in outs]
+        return [o[0] if o.ndim == 3 and o.shape[0] == 1 else NOTHING for o in outs]
 
     return run

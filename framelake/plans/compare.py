@@ -19,9 +19,10 @@ from ..config import DEFAULT, ReadConfig
 from ..functions.text import one_line, tidy
 from ..operators import evaluate
 from ..operators import imageops as im
-from ..operators.ctc import decode_array
+from ..operators.ctc import decode_best
+from ..operators.detect import STEP_TYPE, STEPS, detect_by, read_crops
 from ..operators.models import Detector, Recogniser
-from .read import read_canvases, read_frames, region_canvases
+from .read import frame_texts, pieces_of, read_canvases, read_frames, region_canvases
 
 #: How a region is read: its crop recognised as it is; its crop searched for text;
 #: its padded crop searched, which is what a region read does.
@@ -58,14 +59,13 @@ def _crops_only(canvases: DataFrame, recogniser: Recogniser, listed: Column, con
             for r in range(b.num_rows):
                 get = lambda n: b.column(names.index(n))[r].as_py()  # noqa: B023, E731
                 start = time.perf_counter()
-                crop = im.letterbox(im.frame_view(get("bgr"), get("width"), get("height"), get("stride")), config.rec_width, config.rec_height)
-                steps.append(recogniser([crop])[0].tolist())
+                steps += read_crops(recogniser, [im.frame_view(get("bgr"), get("width"), get("height"), get("stride"))], config)
                 took.append(1000 * (time.perf_counter() - start))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(steps, pa.list_(pa.list_(pa.float32()))), pa.array(took, pa.float64())], names=[*kept, "steps", "rec_ms"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(steps, STEP_TYPE), pa.array(took, pa.float64())], names=[*kept, "steps", "rec_ms"])
 
     schema = ", ".join(f"`{n}` {canvases.schema[n].dataType.simpleString()}" for n in kept)
-    read = canvases.mapInArrow(run, f"{schema}, steps array<array<float>>, rec_ms double")
-    return read.withColumn("d", decode_array(F.col("steps"), listed)).select(*kept, "d.text", "d.score", F.lit(0.0).alias("det_ms"), "rec_ms")
+    read = canvases.mapInArrow(run, f"{schema}, steps {STEPS}, rec_ms double")
+    return read.withColumn("d", decode_best(F.col("steps"), listed)).select(*kept, "d.text", "d.score", F.lit(0.0).alias("det_ms"), "rec_ms")
 
 
 def reads_by_mode(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, cycles: int = 1, config: ReadConfig = DEFAULT) -> DataFrame:
@@ -126,14 +126,19 @@ def compare_engines(reads: dict[str, DataFrame], regions: DataFrame) -> DataFram
     return scored.unionByName(evaluate.best_reads(scored))
 
 
-def sweep(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, det: list[float], box: list[float], unclip: list[float], config: ReadConfig = DEFAULT) -> DataFrame:
+def sweep(
+    frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, det: list[float], box: list[float], unclip: list[float], config: ReadConfig = DEFAULT
+) -> DataFrame:
     """One row per frame and combination of the swept values: pieces, time of
-    detection, texts joined by ";". The grid is a parameter list, not data."""
-    every = None
-    for d in det:
-        for b in box:
-            for u in unclip:
-                one = read_frames(frames, detector, recogniser, listed, dataclasses.replace(config, det_thresh=d, box_thresh=b, unclip=u))
-                one = one.select(F.col("frame_id").alias("image"), *[F.lit(v).alias(n) for n, v in (("det_thresh", d), ("box_thresh", b), ("unclip_ratio", u))], F.size("pieces").alias("n_pieces"), "det_ms", F.array_join(F.transform("pieces", lambda p: p["text"]), ";").alias("recognized_text"))
-                every = one if every is None else every.unionByName(one)
-    return every
+    detection, texts joined by ";". The grid is a parameter list, not data. No swept
+    value reaches the detector, so it sees a frame once for all of them."""
+    grid = [(d, b, u) for d in det for b in box for u in unclip]
+    if not grid:
+        raise ValueError("a sweep needs a value of each parameter")
+    found = detect_by(frames, detector, [dataclasses.replace(config, det_thresh=d, box_thresh=b, unclip=u) for d, b, u in grid])
+    read = frame_texts(pieces_of(found, recogniser, listed, config))
+    value = lambda k: F.element_at(F.array(*[F.lit(float(g[k])) for g in grid]), F.col("setting") + 1)
+    return read.select(
+        F.col("frame_id").alias("image"), value(0).alias("det_thresh"), value(1).alias("box_thresh"), value(2).alias("unclip_ratio"),
+        F.size("pieces").alias("n_pieces"), "det_ms", F.array_join(F.transform("pieces", lambda p: p["text"]), ";").alias("recognized_text"),
+    )

@@ -19,7 +19,7 @@ from ..operators.models import ink_detector, ink_recogniser
 from ..sources.frames import check_region_code, dimensions
 from ..sources.regions import literal, parse_regions
 from ..sources.sinks import piece_lines, reads_table, results, summary_table
-from . import views
+from . import compare, views
 from .read import read_frames, read_regions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,22 +328,62 @@ def frame_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(out).select("frame_id", "text", "confidence", "count")
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of each frame."""
+    regions = views.boxes(spark, sf_dir).select(F.col("frame_id").cast("string").alias("frame_id")).distinct()
+    named = (("left", (0, 0, 160, 240), "tight", "A"), ("low", (0, 150, 320, 90), "loose", "B"))
+    part = [
+        F.struct(F.lit(n).alias("region_id"), *[F.lit(v).alias(k) for k, v in zip(("x", "y", "width", "height"), r, strict=True)], F.lit(c).alias("category"), F.lit(e).alias("expected"))
+        for n, r, c, e in named
+    ]
+    return regions.select("frame_id", F.explode(F.array(*part)).alias("r")).select("frame_id", "r.*")
+
+
 def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two regions of each frame with the synthetic models."""
-    regions = views.boxes(spark, sf_dir).select(F.col("frame_id").cast("string").alias("frame_id")).distinct()
-    part = F.explode(F.array(*[F.struct(F.lit(n).alias("region_id"), *[F.lit(v).alias(k) for k, v in zip(("x", "y", "width", "height"), r, strict=True)]) for n, r in (("left", (0, 0, 160, 240)), ("low", (0, 150, 320, 90)))]))
-    regions = regions.select("frame_id", part.alias("r")).select("frame_id", "r.*")
-    out = read_regions(_frames(spark, sf_dir), regions, ink_detector, ink_recogniser(), literal(_LISTED))
+    out = read_regions(_frames(spark, sf_dir), _regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
     return results(out).select("frame_id", "region_id", "text", "confidence", "count")
 
 
+def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last of two timed cycles leaves of each frame."""
+    _, pieces = compare.benchmark(_frames(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED), cycles=2)
+    return pieces.select("frame_id", "n_crops", "seq", F.round("score", 5).alias("score"), "text")
+
+
+def mode_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions read in every mode, tallied."""
+    scored = compare.reads_by_mode(_frames(spark, sf_dir), _regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
+    return scored.groupBy("mode", "category").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("matched"), F.round(F.avg("cer"), 4).alias("cer"))
+
+
+def _ink_engine(img: np.ndarray) -> tuple[str, float]:
+    """Another engine's stand-in: a letter for the darkest pixel, none on white."""
+    darkest = int(img.min())
+    return ("ABCDEFGHIJ"[darkest // 26], 90.0) if darkest < 255 else ("", -1.0)
+
+
+def engine_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions read by two settings of another engine and the best of them, tallied."""
+    frames, regions = _frames(spark, sf_dir), _regions(spark, sf_dir)
+    reads = {"own": compare.engine_reads(frames, regions, _ink_engine), "filtered": compare.engine_reads(frames, regions, _ink_engine, enlarge=2, filters=True)}
+    scored = compare.compare_engines(reads, regions)
+    return scored.groupBy("engine", "category").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("matched"), F.round(F.avg("cer"), 4).alias("cer"))
+
+
+def swept_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole frames read with two thresholds and two growths, detected once."""
+    out = compare.sweep(_frames(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED), [0.3, 0.7], [0.4], [1.2, 1.8])
+    return out.select("image", "det_thresh", "box_thresh", "unclip_ratio", "n_pieces", "recognized_text")
+
+
 _ALL: tuple[Query, ...] = (
     tally_by_mode, scored_reads, tally_by_engine, best_engine_reads, overall_report, printed_summary, printed_reads,
     frame_dimensions, region_lines, argument_checks, tile_grid, region_windows, crop_shapes,
     quad_measures, quad_order, quad_mapping, unclipped_boxes, sized_boxes, candidates, overlap_pairs,
     reading_order, overlap_suppression, region_readings, conversation_lines, ctc_rows, ctc_arrays,
     timing_summary, timed_means, last_cycles, process_usage, sweep_grid, sweep_report, report_fields, tidied_texts,
-    result_rows, map_scores, frame_readings, region_reads,
+    result_rows, map_scores, frame_readings, region_reads, benchmark_pieces, mode_readings, engine_readings, swept_readings,
 )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, ReadConfig
 from ..functions.geometry import centre, edge_height, edge_width, holds_point, shift, vertical_extent
 from ..operators import imageops as im
-from ..operators.ctc import decode_array
+from ..operators.ctc import decode_best
 from ..operators.detect import detect, recognise
 from ..operators.layout import in_reading_order
 from ..operators.models import Detector, Recogniser
@@ -28,10 +28,15 @@ def pieces(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed
     array of (seq, text, score, box): detection, reading order, size filter,
     suppression, recognition, decoding and the score filter, in this order. det_ms,
     rec_ms and n_crops say what the models took."""
-    found = detect(frames, detector, config).withColumn("boxes", in_reading_order(F.col("boxes"), config.row_tolerance))
+    return pieces_of(detect(frames, detector, config), recogniser, listed, config)
+
+
+def pieces_of(found: DataFrame, recogniser: Recogniser, listed: Column, config: ReadConfig) -> DataFrame:
+    """What follows detection: frames with `boxes` to frames with `pieces`."""
+    found = found.withColumn("boxes", in_reading_order(F.col("boxes"), config.row_tolerance))
     sized = found.withColumn("boxes", F.filter("boxes", lambda b: (edge_height(b["box"]) >= config.min_height) & (edge_width(b["box"]) >= config.min_width)))
     read = recognise(sized, recogniser, config)
-    said = F.transform("reads", lambda r: F.struct(r["seq"].alias("seq"), decode_array(r["steps"], listed).alias("d"), r["box"].alias("box")))
+    said = F.transform("reads", lambda r: F.struct(r["seq"].alias("seq"), decode_best(r["steps"], listed).alias("d"), r["box"].alias("box")))
     flat = F.transform(said, lambda r: F.struct(r["seq"].alias("seq"), r["d"]["text"].alias("text"), r["d"]["score"].alias("score"), r["box"].alias("box")))
     return read.withColumn("pieces", F.filter(flat, lambda p: p["score"] >= config.drop_score)).drop("reads")
 
@@ -59,7 +64,11 @@ def _readings(rows: DataFrame) -> DataFrame:
 
 def read_frames(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
     """The reading of each whole frame: text, score and pieces."""
-    found = pieces(frames, detector, recogniser, listed, config)
+    return frame_texts(pieces(frames, detector, recogniser, listed, config))
+
+
+def frame_texts(found: DataFrame) -> DataFrame:
+    """Frames with `pieces` to readings."""
     zero = F.lit(0)
     return _readings(found.withColumn("pieces", _within(zero, zero, F.col("width"), F.col("height"))))
 

@@ -34,7 +34,8 @@ class ReadError(Exception):
 
 
 def _size_error() -> Column:
-    return F.when(F.col("bgr").isNull(), "no frame bytes").otherwise(F.format_string("bad frame size %dx%d, stride %d", "width", "height", "stride"))
+    said = F.format_string("%d x %d pixels, %d bytes a row: the frame's bytes do not hold that", "width", "height", "stride")
+    return F.when(F.col("bgr").isNull(), "the frame has no bytes").otherwise(said)
 
 
 def _fits() -> Column:
@@ -70,15 +71,20 @@ class Reader:
         return good.unionByName(bad, allowMissingColumns=True)
 
     def read_regions(self, frames: DataFrame, regions: DataFrame) -> DataFrame:
-        """One row per region of a known frame, as read_frames, with region_id."""
+        """One row per region, as read_frames, with region_id. A region of an unknown
+        frame, of one whose bytes are too few, or outside its frame, has a code."""
         ship(frames.sparkSession)
-        sizes = frames.select("frame_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("stride").alias("_s"), F.col("bgr").isNotNull().alias("_has"))
+        sizes = frames.select(
+            "frame_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("stride").alias("_s"),
+            F.col("bgr").isNotNull().alias("_has"), F.coalesce(_fits(), F.lit(False)).alias("_fits"),
+        )
         code = check_region_code(F.col("_has"), F.col("_w"), F.col("_h"), F.col("_s"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-        marked = regions.join(sizes, "frame_id").withColumn("_code", code)
+        code = F.when(F.coalesce("_fits", F.lit(False)), code).otherwise(INVALID_ARGUMENT)
+        marked = regions.join(sizes, "frame_id", "left").withColumn("_code", code)
         usable = marked.filter(F.col("_code") == OK).select("frame_id", "region_id", "x", "y", "width", "height")
         read = results(read_regions(frames, usable, self.detector, self.recogniser, literal(self.characters), self.config))
         good = read.select("frame_id", "region_id", F.lit(OK).alias("code"), F.lit(None).cast("string").alias("error"), "text", "confidence", "count", "pieces")
-        said = F.format_string("region %d,%d %dx%d is not inside a usable frame", "x", "y", "width", "height")
+        said = F.format_string("no readable frame holds %d x %d pixels at (%d, %d)", "width", "height", "x", "y")
         bad = marked.filter(F.col("_code") != OK).select("frame_id", "region_id", F.col("_code").alias("code"), said.alias("error"))
         return good.unionByName(bad, allowMissingColumns=True)
 

@@ -1,10 +1,14 @@
+import dataclasses
+
 import numpy as np
 import pytest
 
-from framelake.operators import evaluate
+from framelake.config import DEFAULT
+from framelake.operators import detect, evaluate
 from framelake.operators import imageops as im
 from framelake.operators.models import ink_detector, ink_recogniser
 from framelake.plans import compare as C
+from framelake.plans.read import read_frames
 from framelake.sources import frames, regions
 
 LISTED = ["blank", *"ABCDEFGHIJ", " "]
@@ -61,6 +65,14 @@ def test_sweep(setting):
     assert len(rows) == 4
     n = {(r.det_thresh, r.unclip_ratio): r.n_pieces for r in rows}
     assert n[0.2, 1.8] == 2 and n[0.9, 1.8] == 1  # the paler bar is below 0.9
+    # Each combination reads as a read with these settings does, and the model ran once a frame.
+    for r in rows:
+        own = dataclasses.replace(DEFAULT, det_thresh=r.det_thresh, box_thresh=r.box_thresh, unclip=r.unclip_ratio)
+        alone = read_frames(screens, ink_detector, ink_recogniser(), listed, own).first()
+        assert r.recognized_text == ";".join(p.text for p in alone.pieces)
+    calls = []
+    maps = detect.tile_maps(np.full((300, 400, 3), 255, np.uint8), lambda img: calls.append(1) or ink_detector(img))
+    assert len(maps) == len(calls)
 
 
 def test_preparation():

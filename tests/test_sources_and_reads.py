@@ -194,6 +194,22 @@ def screens(spark):
     return spark.createDataFrame([(n, i.shape[1], i.shape[0], i.shape[1] * 3, bytearray(i.tobytes())) for n, i in rows], frames.FRAME)
 
 
+def test_decoding_grows_with_the_steps_alone(spark):
+    rng = np.random.default_rng(1)
+    listed = ["", *map(chr, range(0x4E00, 0x4E00 + 6905))]
+    for n in (40, 160):
+        best = rng.integers(0, 6906, n)
+        best[5:9] = best[4]
+        probs = np.full((n, 6906), 0.01, np.float32)
+        probs[np.arange(n), best] = 0.9
+        steps = detect.best_steps(probs)
+        assert [s["c"] for s in steps] == best.tolist() and len(steps) == n
+        want = "".join(listed[c] for k, c in enumerate(best) if c and (not k or c != best[k - 1]))
+        d = spark.createDataFrame([([(s["c"], s["p"]) for s in steps],)], "s array<struct<c:int,p:double>>")
+        r = d.select(ctc.decode_best(F.col("s"), regions.literal(listed)).alias("r")).first().r
+        assert r.text == want and abs(r.score - 0.9) < 1e-6
+
+
 def test_frames(screens):
     got = {r.frame_id: r for r in sinks.results(read_frames(screens, ink_detector, ink_recogniser(), regions.literal(LISTED))).collect()}
     assert got["a"].text.count("\n") == 1 and got["a"]["count"] == 3 and got["a"].confidence == 95
