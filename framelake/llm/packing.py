@@ -22,6 +22,7 @@ import functools
 import itertools
 import json
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -37,7 +38,7 @@ LENGTH = 1024
 END = 2
 #: Pieces in a group: what one task packs at once. Each group may leave one
 #: sequence unfilled, and each is searched twice, so larger groups waste less.
-GROUP_PIECES = 1 << 15
+GROUP_PIECES = 1 << 14
 MOST_TASKS = 20_000
 #: Branches that the search of one group may open before its incumbent stands.
 NODES = 4000
@@ -186,7 +187,7 @@ def mirrored(sums: int, room: int) -> int:
 
 
 def fillings(
-    sizes: list[int], stock: list[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = (), where: dict[int, int] | None = None
+    sizes: list[int], stock: Sequence[int], room: int, known: list[int] | None = None, but: Sequence[tuple[int, ...]] = (), where: dict[int, int] | None = None
 ) -> Iterator[tuple[int, ...] | None]:
     """Every undominated filling of `room` from sizes (descending) with stock, once,
     `but` for those given: the least waste first, then the largest lengths. None
@@ -200,21 +201,20 @@ def fillings(
     chosen in falling order and such a length is longer than those it stands for,
     so a start that is dominated is known at once and not followed. The next length
     to take is read off a bit set: those in stock that leave a sum which lengths up to
-    them reach.
+    them reach. The search changes its stock and sums before it asks for the next
+    filling: it gives copies, which are all that a branch holds.
     """
     n = len(sizes)
     top = bisect.bisect_left(sizes, -room, key=lambda s: -s)
+    m, every = n - top, (1 << room + 1) - 1
     if known is None:
         known = [1]
-        extend_sums(known, sizes, stock, room, n - top)
-    # Own copies: the search changes the stock before it asks for the next filling.
-    values, counts, reach = sizes[top:], stock[top:], known[: n - top + 1]
-    m, every = len(values), (1 << room + 1) - 1
+        extend_sums(known, sizes, stock, room, m)
     if where is None:
         where = {s: k for k, s in enumerate(sizes)}
-    there = sum(map((1).__lshift__, itertools.compress(values, counts)))
+    there = sum(map((1).__lshift__, itertools.compress(sizes[top:], stock[top:])))
     back: dict[int, int] = {}
-    totals = reach[m] & every
+    totals = known[m] & every
     while totals:
         total = totals.bit_length() - 1
         totals ^= 1 << total
@@ -232,9 +232,9 @@ def fillings(
                 yield None if out & ((2 << waste) - 2) or filling in but else filling
                 continue
             if often < 0:
-                k = max(k, bisect.bisect_left(values, -left, key=lambda s: -s))
+                k = max(k, bisect.bisect_left(sizes, -left, lo=top, key=lambda s: -s) - top)
             # The next length, and how often, that leaves a sum which smaller ones reach.
-            while often > 0 and not reach[m - k - 1] >> left - often * values[k] & 1:
+            while often > 0 and not known[m - k - 1] >> left - often * sizes[top + k] & 1:
                 often -= 1
             if often <= 0:
                 if often == 0:
@@ -242,23 +242,23 @@ def fillings(
                 if k >= m:
                     continue
                 if k not in back:
-                    back[k] = mirrored(reach[m - k] & every, room)
-                able = there & (back[k] >> room - left) & ((2 << values[k]) - 1)
+                    back[k] = mirrored(known[m - k] & every, room)
+                able = there & (back[k] >> room - left) & ((2 << sizes[top + k]) - 1)
                 while able:
                     s = able.bit_length() - 1
                     able ^= 1 << s
                     k = where[s] - top
-                    often = min(counts[k], left // s)
-                    while often > 0 and not reach[m - k - 1] >> left - often * s & 1:
+                    often = min(stock[top + k], left // s)
+                    while often > 0 and not known[m - k - 1] >> left - often * s & 1:
                         often -= 1
                     if often > 0:
                         break
                 else:
                     continue
-            s = values[k]
+            s = sizes[top + k]
             levels.append((k, often - 1, left, out, some, more) if often > 1 else (k + 1, -1, left, out, some, more))
             chosen.append((s, often))
-            if often == counts[k]:
+            if often == stock[top + k]:
                 out ^= 1 << s
             for _ in range(often):
                 more |= (some & -2) << s
@@ -402,9 +402,10 @@ def search(stock: Counter, room: int, incumbent: list[list[int]], bound: int, ea
         else:
             change(head, -1)
             gap = room - sizes[head]
-            extend_sums(known, sizes, left, room, n - bisect.bisect_left(sizes, -gap, key=lambda s: -s))
+            fit = n - bisect.bisect_left(sizes, -gap, key=lambda s: -s)
+            extend_sums(known, sizes, left, room, fit)
             first = likely(sizes, left, gap, where) if early else []
-            options = first, fillings(sizes, left[:], gap, known[:], tuple(first), where)
+            options = first, fillings(sizes, array("i", left), gap, known[: fit + 1], tuple(first), where)
             change(head, 1)
         opened += 1
         before = waste
