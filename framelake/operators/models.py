@@ -43,6 +43,26 @@ def ink_recogniser(n_classes: int = 12) -> Recogniser:
     return read
 
 
+def shade_recogniser(sure: list[float]) -> Recogniser:
+    """One character per crop: its class is the shade of the darkest pixel, in steps of
+    26 from class 1 on, with that class's probability in `sure`."""
+
+    def read(crops: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for crop in crops:
+            used = crop[:, np.flatnonzero(crop.any(axis=(0, 2)))]  # without the padding
+            shade = round(255 * float(used.min())) // 26 if used.size else 0
+            n = len(sure) + 1
+            p = np.zeros((3, n), dtype=np.float32)
+            p[:, 0] = 1
+            p[1] = (1 - sure[min(shade, n - 2)]) / (n - 1)
+            p[1, 1 + min(shade, n - 2)] = sure[min(shade, n - 2)]
+            out.append(p)
+        return out
+
+    return read
+
+
 @functools.lru_cache(maxsize=4)
 def _session(path: str):  # noqa: ANN202
     import onnxruntime

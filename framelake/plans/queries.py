@@ -15,7 +15,7 @@ from ..functions import geometry as g
 from ..functions import text as x
 from ..operators import ctc, evaluate, layout, tiling
 from ..operators import imageops as im
-from ..operators.models import ink_detector, ink_recogniser
+from ..operators.models import ink_detector, ink_recogniser, shade_recogniser
 from ..sources.frames import check_region_code, dimensions
 from ..sources.regions import literal, parse_regions
 from ..sources.sinks import piece_lines, reads_table, results, summary_table
@@ -345,6 +345,43 @@ def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(out).select("frame_id", "region_id", "text", "confidence", "count")
 
 
+#: How sure the stand-in is of each shade; it drops what it is least sure of.
+_SURE = [0.5, 0.55, 0.6, 0.3, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+
+
+def _barred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames larger than the detector's input with the bars of views.bars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                img = np.full((400, 600, 3), 255, dtype=np.uint8)
+                for r in row["bars"]:
+                    img[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] = r["ink"]
+                size = [pa.array([v], pa.int32()) for v in (600, 400, 1800)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["frame_id"]]), *size, pa.array([img.tobytes()], pa.binary())], names=["frame_id", "width", "height", "stride", "bgr"])
+
+    drawn = views.bars(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "ink")).alias("bars"))
+    return drawn.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "frame_id string, width int, height int, stride int, bgr binary")
+
+
+def barred_frame_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole frames whose text follows from where their bars are: tiles, thresholds,
+    growth, suppression, reading order, crops, decoding, score filter and lines."""
+    out = read_frames(_barred(spark, sf_dir), ink_detector, shade_recogniser(_SURE), literal(_LISTED))
+    return out.select("frame_id", "text", F.round("score", 5).alias("score"), F.size("pieces").alias("n_pieces"))
+
+
+def barred_region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the same frames: a half, a row of cells, a cell, and one without bars."""
+    frames = views.bars(spark, sf_dir).select("frame_id").distinct()
+    named = (("half", 0, 0, 300, 400), ("row", 0, 100, 600, 100), ("cell", 300, 200, 150, 100), ("none", 0, 0, 20, 20))
+    part = [F.struct(F.lit(n).alias("region_id"), *[F.lit(v).alias(k) for k, v in zip(("x", "y", "width", "height"), r, strict=True)]) for n, *r in named]
+    regions = frames.select("frame_id", F.explode(F.array(*part)).alias("r")).select("frame_id", "r.*")
+    out = read_regions(_barred(spark, sf_dir), regions, ink_detector, shade_recogniser(_SURE), literal(_LISTED))
+    return out.select("frame_id", "region_id", "text", F.round("score", 5).alias("score"), F.size("pieces").alias("n_pieces"))
+
+
 def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the last of two timed cycles leaves of each frame."""
     _, pieces = compare.benchmark(_frames(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED), cycles=2)
@@ -383,7 +420,7 @@ _ALL: tuple[Query, ...] = (
     quad_measures, quad_order, quad_mapping, unclipped_boxes, sized_boxes, candidates, overlap_pairs,
     reading_order, overlap_suppression, region_readings, conversation_lines, ctc_rows, ctc_arrays,
     timing_summary, timed_means, last_cycles, process_usage, sweep_grid, sweep_report, report_fields, tidied_texts,
-    result_rows, map_scores, frame_readings, region_reads, benchmark_pieces, mode_readings, engine_readings, swept_readings,
+    result_rows, map_scores, frame_readings, region_reads, barred_frame_readings, barred_region_reads, benchmark_pieces, mode_readings, engine_readings, swept_readings,
 )
 
 

@@ -110,6 +110,21 @@ _SPANS = """z AS (SELECT event_id AS size_id, CAST(300 + event_id % 1700 AS INTE
 n AS (SELECT *, CASE WHEN width <= 480 THEN 1 ELSE (width - 256 + 223) // 224 END AS nx, CASE WHEN height <= 480 THEN 1 ELSE (height - 256 + 223) // 224 END AS ny FROM z),
 s AS (SELECT *, (width + (nx - 1) * 256) // nx AS w, (height + (ny - 1) * 256) // ny AS h FROM n)"""
 
+# The bars of views.bars that are read: dark enough that 1 - ink / 255 is 0.4 or more,
+# no marks, of a shade that the stand-in is sure of. Bars of a row make a line.
+_BARS = """e AS (
+  SELECT CAST(event_id // 16 AS VARCHAR) AS frame_id, event_id % 16 // 4 AS row, event_id % 4 AS col, event_id % 9 AS shade, event_id % 11 = 5 AS mark FROM events
+), s AS (
+  SELECT frame_id, row, col, chr(CAST(65 + shade AS INTEGER)) AS letter, CASE shade WHEN 3 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE + 0.05::DOUBLE * shade END AS sure
+  FROM e WHERE NOT mark AND 1 - (12 + 26 * shade) / 255.0::DOUBLE >= 0.4 AND shade <> 3
+)"""
+_BAR_LINES = """SELECT d.frame_id, d.region_id, coalesce(t.text, '') AS text, round(coalesce(t.score, 0), 5) AS score, CAST(coalesce(t.n, 0) AS INTEGER) AS n_pieces
+FROM d LEFT JOIN (
+  SELECT frame_id, region_id, string_agg(line, chr(10) ORDER BY row) AS text, sum(total) / sum(n) AS score, sum(n) AS n
+  FROM (SELECT frame_id, region_id, row, string_agg(letter, ' ' ORDER BY col) AS line, sum(sure) AS total, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL
+) t ON t.frame_id = d.frame_id AND t.region_id = d.region_id"""
+
+
 SQL: dict[str, str] = {
     "scored_reads": f"WITH {_SCORED} SELECT item_id, category, mode, match, round(cer, 6) AS cer, ms FROM s",
     "tally_by_mode": f"""WITH {_SCORED}
@@ -237,6 +252,15 @@ FROM b, (VALUES (0.2), (0.3), (0.4)) t(d) WHERE score >= CAST(d AS DOUBLE) GROUP
        chr(10) || translate(replace(text, ',', ''), ' |', '') || chr(13) || chr(10) || chr(12) AS normalised FROM conversations""",
     "result_rows": f"""WITH {BOX}
 SELECT frame_id, arg_min(text, box_id) AS text, CAST(floor(round(avg(score), 9) * 100 + 0.5) AS INTEGER) AS confidence, CAST(count(*) AS INTEGER) AS count, CAST(sum(x1) AS BIGINT) AS right_sum FROM b GROUP BY frame_id""",
+    "barred_frame_readings": f"""WITH {_BARS}, d AS (SELECT DISTINCT frame_id, 'all' AS region_id FROM e), m AS (SELECT *, 'all' AS region_id FROM s)
+SELECT frame_id, text, score, n_pieces FROM ({_BAR_LINES})""",
+    "barred_region_reads": f"""WITH {_BARS}, d AS (SELECT DISTINCT frame_id, r.region_id FROM e, (VALUES ('half'), ('row'), ('cell'), ('none')) r(region_id)),
+m AS (
+  SELECT *, 'half' AS region_id FROM s WHERE col < 2
+  UNION ALL SELECT *, 'row' FROM s WHERE row = 1
+  UNION ALL SELECT *, 'cell' FROM s WHERE row = 2 AND col = 2
+)
+{_BAR_LINES}""",
     "map_scores": """WITH p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) a(i))
 SELECT vec_id, count(*) FILTER (v > 0.2) AS n_above, round(avg(v) FILTER (x BETWEEN vec_id % 4 AND vec_id % 4 + 3 AND y BETWEEN vec_id % 3 AND vec_id % 3 + 4), 5) AS score,
        round((8 * (avg(v) FILTER (y = 0) + avg(v) FILTER (y = 7)) + 8 * (avg(v) FILTER (x = 0) + avg(v) FILTER (x = 7))) / 32, 5) AS edge

@@ -28,6 +28,20 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars in the cells of a grid, four by four a frame: a bar is an event. Some are
+    too faint for a threshold, some are marks too small for text."""
+    e = F.col("event_id")
+    cell = e % 16
+    mark = e % 11 == 5
+    size = lambda normal: F.when(mark, 4).otherwise(normal).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.expr("event_id div 16").cast("string").alias("frame_id"), cell.alias("cell"), mark.alias("mark"),
+        (cell % 4 * 150 + 20).cast("int").alias("x"), (F.floor(cell / 4) * 100 + 36 + e % 3 * 2).cast("int").alias("y"),
+        size(100 + e % 2 * 10).alias("w"), size(20 + F.floor(cell / 4) * 2).alias("h"), (12 + e % 9 * 26).cast("int").alias("ink"),
+    )
+
+
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilted quads around the boxes, their corners in a rotated order."""
     b = boxes(spark, sf_dir)
