@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import geometry as g
 from ..functions import text as x
-from ..operators import ctc, evaluate, layout, tiling
+from ..operators import ctc, evaluate, jpeg, layout, tiling
 from ..operators import imageops as im
 from ..operators.models import ink_detector, ink_recogniser, shade_recogniser
 from ..sources.frames import check_region_code, dimensions
@@ -382,6 +382,21 @@ def barred_region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", "region_id", "text", F.round("score", 5).alias("score"), F.size("pieces").alias("n_pieces"))
 
 
+def recompressed_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one colour after a JPEG round trip at quality 50."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pixels = [bytes([e * 7 % 256, e * 11 % 256, e * 13 % 256]) * 99 for e in b.column(0).to_pylist()]
+            size = [pa.array([v] * b.num_rows, pa.int32()) for v in (11, 9, 33)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *size, pa.array(pixels, pa.binary())], names=["event_id", "width", "height", "stride", "bgr"])
+
+    drawn = views.table(spark, sf_dir, "events").select("event_id").mapInArrow(draw, "event_id long, width int, height int, stride int, bgr binary")
+    seen = jpeg.recompressed(drawn, 50).withColumn("shown", F.hex("bgr"))
+    colour = [F.conv(F.substring("shown", 1 + 2 * k, 2), 16, 10).cast("int").alias(n) for k, n in enumerate("bgr")]
+    return seen.select("event_id", *colour, (F.col("shown") == F.repeat(F.substring("shown", 1, 6), 99)).alias("even"))
+
+
 def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the last of two timed cycles leaves of each frame."""
     _, pieces = compare.benchmark(_frames(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED), cycles=2)
@@ -420,7 +435,7 @@ _ALL: tuple[Query, ...] = (
     quad_measures, quad_order, quad_mapping, unclipped_boxes, sized_boxes, candidates, overlap_pairs,
     reading_order, overlap_suppression, region_readings, conversation_lines, ctc_rows, ctc_arrays,
     timing_summary, timed_means, last_cycles, process_usage, sweep_grid, sweep_report, report_fields, tidied_texts,
-    result_rows, map_scores, frame_readings, region_reads, barred_frame_readings, barred_region_reads, benchmark_pieces, mode_readings, engine_readings, swept_readings,
+    result_rows, map_scores, frame_readings, region_reads, barred_frame_readings, barred_region_reads, recompressed_colours, benchmark_pieces, mode_readings, engine_readings, swept_readings,
 )
 
 

@@ -261,6 +261,21 @@ m AS (
   UNION ALL SELECT *, 'cell' FROM s WHERE row = 2 AND col = 2
 )
 {_BAR_LINES}""",
+    # A flat block has one coefficient, 8 times its level: the steps are 16 and 17.
+    "recompressed_colours": """WITH c AS (
+  SELECT event_id, CAST(event_id * 7 % 256 AS DOUBLE) AS b, CAST(event_id * 11 % 256 AS DOUBLE) AS g, CAST(event_id * 13 % 256 AS DOUBLE) AS r FROM events
+), p AS (
+  SELECT event_id, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS y,
+         least(round_even(0.5::DOUBLE * b - 0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 128, 0), 255) AS cb,
+         least(round_even(0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b + 128, 0), 255) AS cr FROM c
+), q AS (
+  SELECT event_id, least(greatest(round_even(round_even((y - 128) * 8 / 16, 0) * 2 + 128, 0), 0), 255) AS y,
+         least(greatest(round_even(round_even((cb - 128) * 8 / 17, 0) * 17 / 8 + 128, 0), 0), 255) - 128 AS cb,
+         least(greatest(round_even(round_even((cr - 128) * 8 / 17, 0) * 17 / 8 + 128, 0), 0), 255) - 128 AS cr FROM p
+)
+SELECT event_id, CAST(least(greatest(round_even(y + 1.772::DOUBLE * cb, 0), 0), 255) AS INTEGER) AS b,
+       CAST(least(greatest(round_even(y - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr, 0), 0), 255) AS INTEGER) AS g,
+       CAST(least(greatest(round_even(y + 1.402::DOUBLE * cr, 0), 0), 255) AS INTEGER) AS r, true AS even FROM q""",
     "map_scores": """WITH p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) a(i))
 SELECT vec_id, count(*) FILTER (v > 0.2) AS n_above, round(avg(v) FILTER (x BETWEEN vec_id % 4 AND vec_id % 4 + 3 AND y BETWEEN vec_id % 3 AND vec_id % 3 + 4), 5) AS score,
        round((8 * (avg(v) FILTER (y = 0) + avg(v) FILTER (y = 7)) + 8 * (avg(v) FILTER (x = 0) + avg(v) FILTER (x = 7))) / 32, 5) AS edge
