@@ -328,7 +328,7 @@ def frame_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(out).select("frame_id", "text", "confidence", "count")
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frame_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two regions of each frame."""
     regions = views.boxes(spark, sf_dir).select(F.col("frame_id").cast("string").alias("frame_id")).distinct()
     named = (("left", (0, 0, 160, 240), "tight", "A"), ("low", (0, 150, 320, 90), "loose", "B"))
@@ -341,7 +341,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two regions of each frame with the synthetic models."""
-    out = read_regions(_frames(spark, sf_dir), _regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
+    out = read_regions(_frames(spark, sf_dir), _frame_regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
     return results(out).select("frame_id", "region_id", "text", "confidence", "count")
 
 
@@ -405,7 +405,7 @@ def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mode_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions read in every mode, tallied."""
-    scored = compare.reads_by_mode(_frames(spark, sf_dir), _regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
+    scored = compare.reads_by_mode(_frames(spark, sf_dir), _frame_regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
     return scored.groupBy("mode", "category").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("matched"), F.round(F.avg("cer"), 4).alias("cer"))
 
 
@@ -417,7 +417,7 @@ def _ink_engine(img: np.ndarray) -> tuple[str, float]:
 
 def engine_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions read by two settings of another engine and the best of them, tallied."""
-    frames, regions = _frames(spark, sf_dir), _regions(spark, sf_dir)
+    frames, regions = _frames(spark, sf_dir), _frame_regions(spark, sf_dir)
     reads = {"own": compare.engine_reads(frames, regions, _ink_engine), "filtered": compare.engine_reads(frames, regions, _ink_engine, enlarge=2, filters=True)}
     scored = compare.compare_engines(reads, regions)
     return scored.groupBy("engine", "category").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("matched"), F.round(F.avg("cer"), 4).alias("cer"))
