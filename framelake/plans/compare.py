@@ -20,7 +20,7 @@ from ..functions.text import one_line, tidy
 from ..operators import evaluate
 from ..operators import imageops as im
 from ..operators.ctc import decode_best
-from ..operators.detect import STEP_TYPE, STEPS, detect_by, read_crops
+from ..operators.detect import STEP_TYPE, STEPS, read_by, read_crops
 from ..operators.models import Detector, Recogniser
 from .read import frame_texts, pieces_of, read_canvases, read_frames, region_canvases
 
@@ -135,8 +135,8 @@ def sweep(
     grid = [(d, b, u) for d in det for b in box for u in unclip]
     if not grid:
         raise ValueError("a sweep needs a value of each parameter")
-    found = detect_by(frames, detector, [dataclasses.replace(config, det_thresh=d, box_thresh=b, unclip=u) for d, b, u in grid])
-    read = frame_texts(pieces_of(found, recogniser, listed, config))
+    runs = read_by(frames, detector, recogniser, [dataclasses.replace(config, det_thresh=d, box_thresh=b, unclip=u) for d, b, u in grid])
+    read = frame_texts(pieces_of(runs, listed, config))
     value = lambda k: F.element_at(F.array(*[F.lit(float(g[k])) for g in grid]), F.col("setting") + 1)
     return read.select(
         F.col("frame_id").alias("image"), value(0).alias("det_thresh"), value(1).alias("box_thresh"), value(2).alias("unclip_ratio"),

@@ -1,8 +1,9 @@
 """Whole reads: frames or regions of frames to text.
 
-Every stage works on a frame's own row: detection and recognition are Arrow
-passes, layout, decoding and lines are Catalyst expressions between them. A frame
-is never shuffled; a run scales with the number of frames.
+Every stage works on a frame's own row: detection, layout and recognition are one
+Arrow pass, which pixels enter and do not leave; decoding and lines are Catalyst
+expressions after it. A frame is never shuffled; a run scales with the number of
+frames.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ReadConfig
-from ..functions.geometry import centre, edge_height, edge_width, holds_point, shift, vertical_extent
+from ..functions.geometry import centre, holds_point, shift, vertical_extent
 from ..operators import imageops as im
 from ..operators.ctc import decode_best
-from ..operators.detect import detect, recognise
-from ..operators.layout import in_reading_order
+from ..operators.detect import read_by
 from ..operators.models import Detector, Recogniser
 
 
@@ -28,14 +28,11 @@ def pieces(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed
     array of (seq, text, score, box): detection, reading order, size filter,
     suppression, recognition, decoding and the score filter, in this order. det_ms,
     rec_ms and n_crops say what the models took."""
-    return pieces_of(detect(frames, detector, config), recogniser, listed, config)
+    return pieces_of(read_by(frames, detector, recogniser, [config]).drop("setting"), listed, config)
 
 
-def pieces_of(found: DataFrame, recogniser: Recogniser, listed: Column, config: ReadConfig) -> DataFrame:
-    """What follows detection: frames with `boxes` to frames with `pieces`."""
-    found = found.withColumn("boxes", in_reading_order(F.col("boxes"), config.row_tolerance))
-    sized = found.withColumn("boxes", F.filter("boxes", lambda b: (edge_height(b["box"]) >= config.min_height) & (edge_width(b["box"]) >= config.min_width)))
-    read = recognise(sized, recogniser, config)
+def pieces_of(read: DataFrame, listed: Column, config: ReadConfig) -> DataFrame:
+    """What follows recognition: frames with `reads` to frames with `pieces`."""
     said = F.transform("reads", lambda r: F.struct(r["seq"].alias("seq"), decode_best(r["steps"], listed).alias("d"), r["box"].alias("box")))
     flat = F.transform(said, lambda r: F.struct(r["seq"].alias("seq"), r["d"]["text"].alias("text"), r["d"]["score"].alias("score"), r["box"].alias("box")))
     return read.withColumn("pieces", F.filter(flat, lambda p: p["score"] >= config.drop_score)).drop("reads")
