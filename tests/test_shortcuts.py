@@ -49,6 +49,17 @@ def test_a_vertical_edge_is_even_along_its_length():
     assert all(len(np.unique(row)) == 1 for row in im.resize(img, 31, 12)[..., 0])
 
 
+def test_filters_on_runs_are_those_of_the_whole():
+    for img, *_ in _tables(2, 40):
+        h, w = img.shape[:2]
+        light = im.brighten(img, 255 - int(img.max()))
+        near = lambda a, y, x: [a[min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)] for i in (-1, 0, 1) for j in (-1, 0, 1)]  # noqa: B023, E731
+        sharp = np.array([[np.clip(np.rint(light[y, x] + 0.85 * (light[y, x] - np.mean(near(light.astype(float), y, x), axis=0))), 0, 255) for x in range(w)] for y in range(h)]).astype(np.uint8)
+        grey = im.greyscale(sharp)
+        want = np.array([[np.median(near(grey, y, x), axis=0) for x in range(w)] for y in range(h)])
+        assert np.array_equal(im.prepare(img, filters=True), want)
+
+
 def test_squeezed_images_come_back_whole():
     for ends in (1, 2):
         for img, *_ in _tables(3, 30):
