@@ -345,3 +345,22 @@ def test_a_form_that_wraps_the_page_is_spared():
     assert _text("<form><h1>T</h1><p>long enough a text to be most of the page</p></form><p>x</p>") == ["T", "long enough a text to be most of the page", "x"]
     assert _text("<article><p>a</p><form class=head>no</form></article>") == ["a"]
     assert _text("<article><form role=search><p>no</p></form><p>a</p></article>") == ["a"]
+
+
+def test_all_features_of_a_leaf_are_counted(spark):
+    words = [f"w{k}" for k in range(200)]
+    assert len(H.features(H.Block(1, 0, False, False, False, " ".join(words), ["/a", "/b"]))) == 200
+    # Nine pages share a line but for its first words; every feature has its say, in
+    # whatever parts and shares the counts are made.
+    rng = random.Random(6)
+    leaves = [[{"place": 1 + j, "parent": 0, "links": [f"/{i % 2}"], "text": " ".join([f"x{rng.randrange(3)}" for _ in range(9)] + words[: 40 * j])} for j in range(3) for _ in range(2)] for i in range(9)]
+    counts = Counter()
+    for page in leaves:
+        counts.update({(x["place"], " ".join(x["text"].split(" ")[k : k + 3])) for x in page for k in range(len(x["text"].split(" ")) - 2)} | {(x["place"], f"link {x['links'][0]}") for x in page})
+    want = {p: (sum(c for (q, _), c in counts.items() if q == p), sum(c * np.log(c) for (q, _), c in counts.items() if q == p)) for p in (1, 2, 3)}
+    d = spark.createDataFrame([(i, page, 1) for i, page in enumerate(leaves)], "uid long, leaves array<struct<place:long,parent:long,links:array<string>,text:string>>, counts long")
+    for counted, added in ((H.COUNTED, H.ADDED), (50, 1)):
+        got = {r.place: (r.n, r.logs) for r in H.feature_sums(d.repartition(3), counted, added).collect()}
+        assert {p: n for p, (n, _) in got.items()} == {p: n for p, (n, _) in want.items()}
+        assert all(abs(got[p][1] - want[p][1]) < 1e-6 for p in want)
+    assert H.feature_sums(d.limit(0)).collect() == []
