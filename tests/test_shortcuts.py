@@ -110,3 +110,24 @@ def test_small_quads_go():
     quad = lambda w, h: np.array([[0, 0], [w, 0], [w, h], [0, h]], float)
     assert [detect.large_enough(quad(w, h), DEFAULT) for w, h in ((8, 10), (7, 10), (8, 9))] == [True, False, False]
     assert math.isclose(DEFAULT.min_height, 10)
+
+
+def test_tilted_crops_are_the_sums_of_sixteen_pixels():
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        img = np.repeat(np.repeat(rng.integers(0, 256, (6, 7, 3)).astype(np.uint8), 1 + k % 9, axis=0), 1 + k % 7, axis=1)
+        if k % 2:
+            img[...] = img[..., :1]
+        h, w = img.shape[:2]
+        quad = np.array([[1, 0], [w - 1, 2], [w - 2, h - 1], [0, h - 3]], float)
+        back = im.perspective(np.array([[0, 0], (a := [int(max(np.hypot(*(quad[0] - quad[1])), np.hypot(*(quad[2] - quad[3])))), 0]), [a[0], (b := int(max(np.hypot(*(quad[0] - quad[3])), np.hypot(*(quad[1] - quad[2])))))], [0, b]], float), quad)
+        want = np.zeros((b, a[0], 3))
+        for v in range(b):
+            for u in range(a[0]):
+                x, y, z = back @ (u, v, 1)
+                x, y = x / z, y / z
+                x0, y0 = math.floor(x), math.floor(y)
+                wx, wy = im._cubic(np.array(x - x0)), im._cubic(np.array(y - y0))
+                want[v, u] = sum(wy[j] * wx[i] * img[min(max(y0 + j - 1, 0), h - 1), min(max(x0 + i - 1, 0), w - 1)] for j in range(4) for i in range(4))
+        got = im.crop_quad(img, quad, 99)
+        assert got.shape == want.shape and (np.abs(got - np.clip(want, 0, 255)) <= 0.5 + 1e-9).all()
