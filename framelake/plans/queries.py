@@ -20,7 +20,7 @@ from ..sources.frames import check_region_code, dimensions
 from ..sources.regions import literal, parse_regions
 from ..sources.sinks import piece_lines, reads_table, results, summary_table
 from . import compare, views
-from .read import read_frames, read_regions
+from .read import read_frames, read_listed, with_regions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -301,22 +301,37 @@ def map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, n_above long, score double, edge double")
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn frames: a bar for each of a user's boxes on white."""
+def _drawn(rows: DataFrame, width: int, height: int, draw: Callable[[np.ndarray, list[dict]], None]) -> DataFrame:
+    """Rows (frame_id, bars, ...) as frames: white ones on which `draw` puts the bars.
+    Other columns pass through."""
+    kept = [n for n in rows.columns if n != "bars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                img = np.full((240, 320, 3), 255, dtype=np.uint8)
-                for r in row["b"]:
-                    y, x0 = r["y"] // 3, r["x"] // 3
-                    img[y : y + 12, x0 : x0 + 40] = r["ink"]
-                yield pa.RecordBatch.from_arrays([pa.array([row["frame_id"]]), *[pa.array([v], pa.int32()) for v in (320, 240, 960)], pa.array([img.tobytes()], pa.binary())], names=["frame_id", "width", "height", "stride", "bgr"])
+            for k, bars in enumerate(b.column("bars").to_pylist()):
+                img = np.full((height, width, 3), 255, dtype=np.uint8)
+                draw(img, bars)
+                size = [pa.array([v], pa.int32()) for v in (width, height, 3 * width)]
+                yield pa.RecordBatch.from_arrays([*b.select(kept).slice(k, 1).columns, *size, pa.array([img.tobytes()], pa.binary())], names=[*kept, "width", "height", "stride", "bgr"])
 
-    b = views.boxes(spark, sf_dir).select(F.col("frame_id").cast("string").alias("frame_id"), F.struct(F.col("box_id").alias("i"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("box_id") % 120).alias("ink")).alias("r"))
-    drawn = b.groupBy("frame_id").agg(F.array_sort(F.collect_list("r")).alias("b"))
     # A frame is little data and much work: deal the frames out, whatever their bytes.
-    return drawn.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "frame_id string, width int, height int, stride int, bgr binary")
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept)
+    return dealt.mapInArrow(run, f"{schema}, width int, height int, stride int, bgr binary")
+
+
+def _frames(spark: SparkSession, sf_dir: str, regions: DataFrame | None = None) -> DataFrame:
+    """Drawn frames: a bar for each of a user's boxes on white; with their regions, if
+    any are given, which they meet before they have pixels."""
+
+    def draw(img: np.ndarray, bars: list[dict]) -> None:
+        for r in bars:
+            y, x0 = r["y"] // 3, r["x"] // 3
+            img[y : y + 12, x0 : x0 + 40] = r["ink"]
+
+    b = views.boxes(spark, sf_dir).select(F.col("frame_id").cast("string").alias("frame_id"), F.struct(F.col("box_id").alias("i"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("box_id") % 120).alias("ink")).alias("r"))
+    rows = b.groupBy("frame_id").agg(F.array_sort(F.collect_list("r")).alias("bars"))
+    return _drawn(rows if regions is None else with_regions(rows, regions), 320, 240, draw)
 
 
 _LISTED = ["blank", *"ABCDEFGHIJ", " "]
@@ -341,7 +356,7 @@ def _frame_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two regions of each frame with the synthetic models."""
-    out = read_regions(_frames(spark, sf_dir), _frame_regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
+    out = read_listed(_frames(spark, sf_dir, _frame_regions(spark, sf_dir)), ink_detector, ink_recogniser(), literal(_LISTED))
     return results(out).select("frame_id", "region_id", "text", "confidence", "count")
 
 
@@ -349,20 +364,16 @@ def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SURE = [0.5, 0.55, 0.6, 0.3, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
-def _barred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames larger than the detector's input with the bars of views.bars."""
+def _barred(spark: SparkSession, sf_dir: str, regions: DataFrame | None = None) -> DataFrame:
+    """Frames larger than the detector's input with the bars of views.bars; with their
+    regions, if any are given."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                img = np.full((400, 600, 3), 255, dtype=np.uint8)
-                for r in row["bars"]:
-                    img[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] = r["ink"]
-                size = [pa.array([v], pa.int32()) for v in (600, 400, 1800)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["frame_id"]]), *size, pa.array([img.tobytes()], pa.binary())], names=["frame_id", "width", "height", "stride", "bgr"])
+    def draw(img: np.ndarray, bars: list[dict]) -> None:
+        for r in bars:
+            img[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] = r["ink"]
 
-    drawn = views.bars(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "ink")).alias("bars"))
-    return drawn.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "frame_id string, width int, height int, stride int, bgr binary")
+    rows = views.bars(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "ink")).alias("bars"))
+    return _drawn(rows if regions is None else with_regions(rows, regions), 600, 400, draw)
 
 
 def barred_frame_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +389,7 @@ def barred_region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = (("half", 0, 0, 300, 400), ("row", 0, 100, 600, 100), ("cell", 300, 200, 150, 100), ("none", 0, 0, 20, 20))
     part = [F.struct(F.lit(n).alias("region_id"), *[F.lit(v).alias(k) for k, v in zip(("x", "y", "width", "height"), r, strict=True)]) for n, *r in named]
     regions = frames.select("frame_id", F.explode(F.array(*part)).alias("r")).select("frame_id", "r.*")
-    out = read_regions(_barred(spark, sf_dir), regions, ink_detector, shade_recogniser(_SURE), literal(_LISTED))
+    out = read_listed(_barred(spark, sf_dir, regions), ink_detector, shade_recogniser(_SURE), literal(_LISTED))
     return out.select("frame_id", "region_id", "text", F.round("score", 5).alias("score"), F.size("pieces").alias("n_pieces"))
 
 

@@ -19,7 +19,7 @@ from ..config import DEFAULT, ReadConfig
 from ..functions.geometry import centre, holds_point, shift, vertical_extent
 from ..operators import imageops as im
 from ..operators.ctc import decode_best
-from ..operators.detect import read_by
+from ..operators.detect import READ_FIELDS, arrow_pass, read_by, read_image
 from ..operators.models import Detector, Recogniser
 
 
@@ -70,13 +70,33 @@ def frame_texts(found: DataFrame) -> DataFrame:
     return _readings(found.withColumn("pieces", _within(zero, zero, F.col("width"), F.col("height"))))
 
 
+def with_regions(frames: DataFrame, regions: DataFrame) -> DataFrame:
+    """Frames that have regions (frame_id, region_id, x, y, width, height, ...) with them
+    as one array, so that a frame's pixels are read once. Frames may come without pixels
+    here and get them afterwards, where a shuffle of pixels is too much."""
+    places = [F.col(n).cast("int").alias(k) for n, k in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))]
+    others = [c for c in regions.columns if c not in ("frame_id", "x", "y", "width", "height")]
+    return frames.join(regions.groupBy("frame_id").agg(F.collect_list(F.struct(*others, *places)).alias("regions")), "frame_id")
+
+
+def cut_region(img: np.ndarray, r: dict, config: ReadConfig, padded: bool) -> tuple[np.ndarray, int, int] | None:
+    """(canvas, left, top) of a region (x, y, w, h): the frame's part with the margin,
+    and, if `padded`, padded on the right and below to the detector's input; none of a
+    region outside its frame."""
+    x, y, w, h = r["x"], r["y"], r["w"], r["h"]
+    if w <= 0 or h <= 0 or x < 0 or y < 0 or x + w > img.shape[1] or y + h > img.shape[0]:
+        return None
+    x0, y0 = max(x - config.margin, 0), max(y - config.margin, 0)
+    x1, y1 = min(x + w + config.margin, img.shape[1]), min(y + h + config.margin, img.shape[0])
+    cut = img[y0:y1, x0:x1]
+    return np.ascontiguousarray(im.pad_to(cut, config.det_width, config.det_height) if padded else cut), x0, y0
+
+
 def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig = DEFAULT, padded: bool = True) -> DataFrame:
-    """Each region as a frame of its own: cut with its margin and, if `padded`, padded
-    on the right and below to the detector's input. Regions (frame_id, region_id, x, y, width,
-    height) meet their frame as one array, so its pixels are read once; a region
+    """Each region as a frame of its own, by cut_region. Regions (frame_id, region_id, x,
+    y, width, height) meet their frame as one array, so its pixels are read once; a region
     outside its frame, or without a frame, gives no row."""
-    listed = regions.groupBy("frame_id").agg(F.collect_list(F.struct("region_id", F.col("x").alias("x"), F.col("y").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))).alias("regions"))
-    both = frames.join(listed, "frame_id").select("frame_id", "width", "height", "stride", "bgr", "regions")
+    both = with_regions(frames, regions.select("frame_id", "region_id", "x", "y", "width", "height")).select("frame_id", "width", "height", "stride", "bgr", "regions")
     names = ("frame_id", "region_id", "dx", "dy", "x", "y", "w", "h", "width", "height", "stride", "bgr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +105,9 @@ def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig =
                 img = im.frame_view(row["bgr"], row["width"], row["height"], row["stride"])
                 out = []
                 for r in row["regions"]:
-                    x, y, w, h = r["x"], r["y"], r["w"], r["h"]
-                    if w <= 0 or h <= 0 or x < 0 or y < 0 or x + w > img.shape[1] or y + h > img.shape[0]:
-                        continue
-                    x0, y0 = max(x - config.margin, 0), max(y - config.margin, 0)
-                    x1, y1 = min(x + w + config.margin, img.shape[1]), min(y + h + config.margin, img.shape[0])
-                    cut = img[y0:y1, x0:x1]
-                    canvas = np.ascontiguousarray(im.pad_to(cut, config.det_width, config.det_height) if padded else cut)
-                    out.append((row["frame_id"], r["region_id"], x0, y0, x - x0, y - y0, w, h, canvas.shape[1], canvas.shape[0], 3 * canvas.shape[1], canvas.tobytes()))
+                    if cut := cut_region(img, r, config, padded):
+                        canvas, x0, y0 = cut
+                        out.append((row["frame_id"], r["region_id"], x0, y0, r["x"] - x0, r["y"] - y0, r["w"], r["h"], canvas.shape[1], canvas.shape[0], 3 * canvas.shape[1], canvas.tobytes()))
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
                 types = [pa.string(), pa.string(), *[pa.int32()] * 9, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=list(names))
@@ -100,6 +115,31 @@ def region_canvases(frames: DataFrame, regions: DataFrame, config: ReadConfig =
     return both.mapInArrow(run, "frame_id string, region_id string, dx int, dy int, x int, y int, w int, h int, width int, height int, stride int, bgr binary")
 
 
+def region_texts(found: DataFrame) -> DataFrame:
+    """Regions with `pieces` in their canvas's coordinates to readings: the pieces centred
+    in the region, their boxes in frame coordinates."""
+    r = F.col("region")
+    kept = found.withColumn("pieces", _within(r["x"] - F.col("dx"), r["y"] - F.col("dy"), r["w"], r["h"]))
+    placed = F.transform("pieces", lambda p: F.struct(p["seq"].alias("seq"), p["text"].alias("text"), p["score"].alias("score"), shift(p["box"], F.col("dx"), F.col("dy")).alias("box")))
+    named = _readings(kept.withColumn("_placed", placed))
+    return named.withColumn("pieces", F.col("_placed")).drop("_placed")
+
+
+def read_listed(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
+    """The reading of each region of frames that have them as with_regions() lists them.
+    Canvases are cut, searched and read where the frame's pixels are, in one Arrow pass."""
+
+    def read(img: np.ndarray, row: dict) -> Iterator[tuple]:
+        for k, r in enumerate(row["regions"]):
+            if cut := cut_region(img, r, config, True):
+                yield k, cut[1], cut[2], *read_image(cut[0], detector, recogniser, [config])[0]
+
+    places = [(n, pa.int32(), "int") for n in ("_place", "dx", "dy")]
+    found = arrow_pass(frames.select("frame_id", "width", "height", "stride", "bgr", "regions"), read, [*places, *READ_FIELDS], ("regions",))
+    found = found.withColumn("region", F.get("regions", "_place")).select("frame_id", "region", "dx", "dy", "reads")
+    return region_texts(pieces_of(found, listed, config)).select("frame_id", "region.region_id", "text", "score", "pieces")
+
+
 def read_canvases(canvases: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
     """The reading of each canvas: the pieces centred in its region, their boxes in
     frame coordinates, with what the models took."""
@@ -113,5 +153,4 @@ def read_canvases(canvases: DataFrame, detector: Detector, recogniser: Recognise
 def read_regions(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
     """The reading of each region: of its padded canvas, the pieces centred in the
     region. A region without such a piece reads as empty with score 0."""
-    read = read_canvases(region_canvases(frames, regions, config), detector, recogniser, listed, config)
-    return read.select("frame_id", "region_id", "text", "score", "pieces")
+    return read_listed(with_regions(frames, regions), detector, recogniser, listed, config)

@@ -239,3 +239,19 @@ def test_stream_equals_batch(spark, screens, tmp_path):
     query.awaitTermination(120)
     got = {r.frame_id.split("_")[0]: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.frame_id: r.text for r in read_frames(screens, ink_detector, ink_recogniser(), listed).collect()}
+
+
+def test_region_reads_move_pixels_once(spark, small):
+    from framelake.plans import queries
+
+    for query in (queries.barred_region_reads, queries.region_reads):
+        plan = query(spark, small)._jdf.queryExecution().executedPlan().toString()
+        after_drawing = plan[: plan.rindex("MapInArrow")]
+        assert plan.count("MapInArrow") == 2 and "Exchange" not in after_drawing and "Join" not in after_drawing
+
+
+def test_regions_outside_their_frame_or_without_one_give_no_row(spark):
+    screens = spark.createDataFrame([("a", 64, 48, 192, bytearray(_canvas(64, 48, []).tobytes()))], frames.FRAME)
+    wanted = spark.createDataFrame([("a", "in", 0, 0, 64, 48), ("a", "out", 1, 0, 64, 48), ("a", "flat", 0, 0, 0, 9), ("b", "lost", 0, 0, 9, 9)], "frame_id string, region_id string, x long, y long, width long, height long")
+    got = read_regions(screens, wanted, ink_detector, ink_recogniser(), regions.literal(LISTED)).collect()
+    assert [r.region_id for r in got] == ["in"]
