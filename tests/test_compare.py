@@ -83,3 +83,19 @@ def test_preparation():
     dot[2, 2] = 255
     assert (im.remove_noise(dot) == 0).all() and im.sharpen(dot, 0.85)[2, 2, 0] == 255
     assert im.greyscale(np.array([[[255, 0, 0]]], np.uint8))[0, 0].tolist() == [29, 29, 29]
+
+
+def test_settings_share_borders_and_crops_and_read_as_alone(monkeypatch):
+    img = np.full((240, 320, 3), 255, np.uint8)
+    for x, y, w, h, v in [(40, 40, 60, 24, 0), (80, 50, 60, 24, 30), (200, 150, 100, 24, 60)]:
+        img[y : y + h, x : x + w] = v
+    configs = [dataclasses.replace(DEFAULT, det_thresh=d, unclip=u) for d in (0.3, 0.7) for u in (1.2, 1.8)]
+    alone = [detect.read_image(img, ink_detector, ink_recogniser(), [c])[0] for c in configs]
+    calls = {"contours": 0, "crop_quad": 0}
+    for name in calls:
+        whole = getattr(im, name)
+        monkeypatch.setattr(im, name, lambda *a, name=name, whole=whole: calls.update({name: calls[name] + 1}) or whole(*a))
+    together = detect.read_image(img, ink_detector, ink_recogniser(), configs)
+    assert [(r, n) for r, _, _, n in together] == [(r, n) for r, _, _, n in alone]
+    boxes = {(r["box"][0]["x"], r["box"][0]["y"], r["box"][2]["x"], r["box"][2]["y"]) for reads, *_ in together for r in reads}
+    assert calls == {"contours": 2, "crop_quad": len(boxes)} and all(d > 0 for _, d, *_ in together)
