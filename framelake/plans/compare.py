@@ -1,7 +1,6 @@
 """Whole evaluations: benchmark cycles, region modes, engines, parameter sweeps.
 
-A cycle is a repeated row, so that timed runs are ordinary rows and every summary
-an aggregate; cycle 0 is the untimed warm-up.
+Cycles repeat a read where its pixels are; the first is an untimed warm-up.
 """
 
 from __future__ import annotations
@@ -20,9 +19,9 @@ from ..functions.text import one_line, tidy
 from ..operators import evaluate
 from ..operators import imageops as im
 from ..operators.ctc import decode_best
-from ..operators.detect import STEP_TYPE, STEPS, read_by, read_crops
+from ..operators.detect import CYCLE_FIELDS, arrow_pass, in_cycles, read_by, read_image, read_whole
 from ..operators.models import Detector, Recogniser
-from .read import frame_texts, pieces_of, read_canvases, read_frames, region_canvases
+from .read import cut_region, frame_texts, pieces_of, region_canvases, region_texts, with_regions
 
 #: How a region is read: its crop recognised as it is; its crop searched for text;
 #: its padded crop searched, which is what a region read does.
@@ -32,60 +31,52 @@ MODES = ("rec", "stretch", "pad")
 Engine = Callable[[np.ndarray], tuple[str, float]]
 
 
-def in_cycles(frames: DataFrame, cycles: int) -> DataFrame:
-    """Each row once to warm up (cycle 0) and once for each timed cycle."""
-    return frames.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles))))
-
-
 def benchmark(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, cycles: int, config: ReadConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(timings, pieces): mean and deviation of each stage per frame over the timed
-    cycles, and the pieces and number of crops that the last cycle left."""
-    runs = read_frames(in_cycles(frames, cycles), detector, recogniser, listed, config)
-    timed = runs.filter("cycle > 0")
-    stages = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in (("det", F.col("det_ms")), ("rec", F.col("rec_ms")), ("total", F.col("det_ms") + F.col("rec_ms")))])).alias("s")
-    timings = evaluate.timing_summary(timed.select("frame_id", stages).select("frame_id", "s.*"), ["frame_id", "metric"])
-    last = evaluate.last_cycle(runs, ["frame_id"], ["n_crops", "pieces"])
-    return timings, last.select("frame_id", "n_crops", F.posexplode("pieces").alias("seq", "p")).select("frame_id", "n_crops", "seq", "p.score", "p.text", "p.box")
+    cycles, and the pieces and number of crops that the last cycle left. A frame's cycles
+    run one after another where its pixels are."""
 
+    def read(img: np.ndarray, _: dict) -> Iterator[tuple]:
+        yield in_cycles(lambda: read_image(img, detector, recogniser, [config])[0], cycles)
 
-def _crops_only(canvases: DataFrame, recogniser: Recogniser, listed: Column, config: ReadConfig) -> DataFrame:
-    """Each canvas recognised as one crop, whatever its score."""
-    names = canvases.columns
-    kept = [n for n in names if n not in ("bgr", "dx", "dy", "x", "y", "w", "h", "width", "height", "stride")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            steps, took = [], []
-            for r in range(b.num_rows):
-                get = lambda n: b.column(names.index(n))[r].as_py()  # noqa: B023, E731
-                start = time.perf_counter()
-                steps += read_crops(recogniser, [im.frame_view(get("bgr"), get("width"), get("height"), get("stride"))], config)
-                took.append(1000 * (time.perf_counter() - start))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in kept), pa.array(steps, STEP_TYPE), pa.array(took, pa.float64())], names=[*kept, "steps", "rec_ms"])
-
-    schema = ", ".join(f"`{n}` {canvases.schema[n].dataType.simpleString()}" for n in kept)
-    read = canvases.mapInArrow(run, f"{schema}, steps {STEPS}, rec_ms double")
-    return read.withColumn("d", decode_best(F.col("steps"), listed)).select(*kept, "d.text", "d.score", F.lit(0.0).alias("det_ms"), "rec_ms")
+    runs = frame_texts(pieces_of(arrow_pass(frames, read, CYCLE_FIELDS), listed, config))
+    t = F.col("t")
+    stages = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in (("det", t["det"]), ("rec", t["rec"]), ("total", t["det"] + t["rec"]))])).alias("s")
+    timings = evaluate.timing_summary(runs.select("frame_id", F.explode("timed").alias("t")).select("frame_id", stages).select("frame_id", "s.*"), ["frame_id", "metric"])
+    return timings, runs.select("frame_id", "n_crops", F.posexplode("pieces").alias("seq", "p")).select("frame_id", "n_crops", "seq", "p.score", "p.text", "p.box")
 
 
 def reads_by_mode(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, cycles: int = 1, config: ReadConfig = DEFAULT) -> DataFrame:
     """Scored reads of regions (frame_id, region_id, x, y, width, height, category,
     expected) in every mode, with the mean time of the timed cycles."""
-    plain = in_cycles(region_canvases(frames, regions, config, padded=False), cycles)
-    whole = in_cycles(region_canvases(frames, regions, config), cycles)
-    runs = {
-        "rec": _crops_only(plain, recogniser, listed, config),
-        "stretch": read_canvases(plain, detector, recogniser, listed, config),
-        "pad": read_canvases(whole, detector, recogniser, listed, config),
-    }
-    keys = ["frame_id", "region_id", "mode"]
-    every = None
-    for mode in MODES:
-        one = runs[mode].select("frame_id", "region_id", F.lit(mode).alias("mode"), "cycle", one_line(F.col("text")).alias("text"), "score", (F.col("det_ms") + F.col("rec_ms")).alias("value"))
-        every = one if every is None else every.unionByName(one)
-    reads = every.groupBy(*keys).agg(F.avg(F.when(F.col("cycle") > 0, F.col("value"))).alias("ms"), F.max_by("text", "cycle").alias("text"), F.max_by("score", "cycle").alias("score"))
-    wanted = regions.select("frame_id", "region_id", "category", "expected")
-    return evaluate.score_reads(reads.join(wanted, ["frame_id", "region_id"]))
+    return listed_by_mode(with_regions(frames, regions), detector, recogniser, listed, cycles, config)
+
+
+def listed_by_mode(frames: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, cycles: int = 1, config: ReadConfig = DEFAULT) -> DataFrame:
+    """The same of frames that have their regions as with_regions() lists them: all modes
+    and cycles in one Arrow pass over a frame's pixels."""
+
+    def read(img: np.ndarray, row: dict) -> Iterator[tuple]:
+        for k, r in enumerate(row["regions"]):
+            for mode in MODES:
+                cut = cut_region(img, r, config, mode == "pad")
+                if cut is None:
+                    continue
+                canvas, x0, y0 = cut
+                one = (lambda: read_whole(canvas, recogniser, config)) if mode == "rec" else (lambda: read_image(canvas, detector, recogniser, [config])[0])  # noqa: B023
+                yield k, x0, y0, mode, *in_cycles(one, cycles)
+
+    places = [(n, pa.int32(), "int") for n in ("_place", "dx", "dy")]
+    found = arrow_pass(frames.select("frame_id", "width", "height", "stride", "bgr", "regions"), read, [*places, ("mode", pa.string(), "string"), *CYCLE_FIELDS], ("regions",))
+    # A crop recognised as it is reads as it does, whatever its score.
+    whole = F.when(F.col("mode") == "rec", decode_best(F.get("reads", F.lit(0))["steps"], listed))
+    total = F.aggregate("timed", F.lit(0.0), lambda a, t: a + t["det"] + t["rec"])
+    ms = F.when(F.size("timed") > 0, total / F.size("timed"))
+    found = found.select("frame_id", F.get("regions", "_place").alias("region"), "dx", "dy", "mode", ms.alias("ms"), whole.alias("whole"), "reads")
+    readings = region_texts(pieces_of(found, listed, config))
+    pick = lambda n: F.when(F.col("mode") == "rec", F.col("whole")[n]).otherwise(F.col(n)).alias(n)
+    said = readings.select("frame_id", "region.region_id", "mode", "ms", pick("text"), pick("score"), "region.category", "region.expected")
+    return evaluate.score_reads(said.withColumn("text", one_line(F.col("text"))))
 
 
 def engine_reads(frames: DataFrame, regions: DataFrame, engine: Engine, cycles: int = 1, enlarge: int = 1, filters: bool = False) -> DataFrame:

@@ -140,16 +140,6 @@ def read_listed(frames: DataFrame, detector: Detector, recogniser: Recogniser, l
     return region_texts(pieces_of(found, listed, config)).select("frame_id", "region.region_id", "text", "score", "pieces")
 
 
-def read_canvases(canvases: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
-    """The reading of each canvas: the pieces centred in its region, their boxes in
-    frame coordinates, with what the models took."""
-    found = pieces(canvases, detector, recogniser, listed, config)
-    kept = found.withColumn("pieces", _within(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
-    placed = F.transform("pieces", lambda p: F.struct(p["seq"].alias("seq"), p["text"].alias("text"), p["score"].alias("score"), shift(p["box"], F.col("dx"), F.col("dy")).alias("box")))
-    named = _readings(kept.withColumn("_placed", placed))
-    return named.withColumn("pieces", F.col("_placed")).drop("_placed", "dx", "dy", "x", "y", "w", "h", "width", "height", "stride")
-
-
 def read_regions(frames: DataFrame, regions: DataFrame, detector: Detector, recogniser: Recogniser, listed: Column, config: ReadConfig = DEFAULT) -> DataFrame:
     """The reading of each region: of its padded canvas, the pieces centred in the
     region. A region without such a piece reads as empty with score 0."""

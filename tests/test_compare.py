@@ -99,3 +99,15 @@ def test_settings_share_borders_and_crops_and_read_as_alone(monkeypatch):
     assert [(r, n) for r, _, _, n in together] == [(r, n) for r, _, _, n in alone]
     boxes = {(r["box"][0]["x"], r["box"][0]["y"], r["box"][2]["x"], r["box"][2]["y"]) for reads, *_ in together for r in reads}
     assert calls == {"contours": 2, "crop_quad": len(boxes)} and all(d > 0 for _, d, *_ in together)
+
+
+def test_cycles_run_where_the_pixels_are(setting):
+    screens, _, listed = setting
+    calls = []
+    img = np.frombuffer(bytes(screens.first().bgr), np.uint8).reshape(300, 400, 3)
+    spied = lambda i: calls.append(1) or ink_detector(i)
+    *_, n, timed = detect.in_cycles(lambda: detect.read_image(img, spied, ink_recogniser(), [DEFAULT])[0], 2)
+    assert len(calls) == 3 and n == 2 and len(timed) == 2 and all(t["det"] > 0 and t["rec"] > 0 for t in timed)
+    _, pieces = C.benchmark(screens, ink_detector, ink_recogniser(), listed, cycles=2)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
