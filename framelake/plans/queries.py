@@ -416,7 +416,7 @@ def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mode_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions read in every mode, tallied."""
-    scored = compare.reads_by_mode(_frames(spark, sf_dir), _frame_regions(spark, sf_dir), ink_detector, ink_recogniser(), literal(_LISTED))
+    scored = compare.listed_by_mode(_frames(spark, sf_dir, _frame_regions(spark, sf_dir)), ink_detector, ink_recogniser(), literal(_LISTED))
     return scored.groupBy("mode", "category").agg(F.count("*").alias("n"), F.sum(F.col("match").cast("long")).alias("matched"), F.round(F.avg("cer"), 4).alias("cer"))
 
 

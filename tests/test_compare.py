@@ -2,12 +2,14 @@ import dataclasses
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.config import DEFAULT
 from framelake.operators import detect, evaluate
 from framelake.operators import imageops as im
 from framelake.operators.models import ink_detector, ink_recogniser
 from framelake.plans import compare as C
+from framelake.plans import queries
 from framelake.plans.read import read_frames
 from framelake.sources import frames, regions
 
@@ -111,3 +113,14 @@ def test_cycles_run_where_the_pixels_are(setting):
     _, pieces = C.benchmark(screens, ink_detector, ink_recogniser(), listed, cycles=2)
     plan = pieces._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_modes_are_one_pass_over_the_pixels(spark, small, setting):
+    screens, wanted, listed = setting
+    plan = queries.mode_readings(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    outside = wanted.withColumn("x", F.when(F.col("region_id") == "one", 399).otherwise(F.col("x")))
+    scored = C.reads_by_mode(screens, outside, ink_detector, ink_recogniser(), listed, cycles=0)
+    assert scored.columns == ["frame_id", "region_id", "mode", "ms", "text", "score", "category", "expected", "match", "cer"]
+    rows = scored.collect()
+    assert {(r.region_id, r["mode"]) for r in rows} == {(i, m) for i in ("two", "none") for m in C.MODES} and all(r.ms is None for r in rows)
