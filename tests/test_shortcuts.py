@@ -131,3 +131,17 @@ def test_tilted_crops_are_the_sums_of_sixteen_pixels():
                 want[v, u] = sum(wy[j] * wx[i] * img[min(max(y0 + j - 1, 0), h - 1), min(max(x0 + i - 1, 0), w - 1)] for j in range(4) for i in range(4))
         got = im.crop_quad(img, quad, 99)
         assert got.shape == want.shape and (np.abs(got - np.clip(want, 0, 255)) <= 0.5 + 1e-9).all()
+
+
+def test_maps_of_runs_are_the_whole_ones():
+    rng = np.random.default_rng(7)
+    for k in range(60):
+        small = rng.random(rng.integers(1, 12, 2)).astype(np.float32)
+        if k % 3 == 0:
+            small = (small > 0.5).astype(np.float32)
+        rows, columns = (np.repeat(np.arange(n), rng.integers(1, 7, n)) for n in small.shape)
+        whole, runs = small[rows][:, columns], im.RunMap(small, rows, columns)
+        assert runs.shape == whole.shape and np.array_equal(runs[1:9, 0:5], whole[1:9, 0:5])
+        assert all(np.array_equal(a, b) for a, b in zip(im._ends(whole > 0.5, 1), (runs > 0.5).ends(1), strict=True))
+        assert [b.tolist() for b in im.contours(runs > 0.5)] == [b.tolist() for b in im.contours(whole > 0.5)]
+        assert [(q.tolist(), s) for q, s in detect.boxes_of(runs)] == [(q.tolist(), s) for q, s in detect.boxes_of(whole)]
