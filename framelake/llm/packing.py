@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import slices, small_batches, written
 
 LENGTH = 1024
 END = 2
@@ -448,7 +448,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, i
     packed as documents of their own. An empty table gives an empty result. Other
     columns are not read.
     """
-    cut = written(pieces(docs, vocabulary, ranks, id_col, text_col, length, end).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, vocabulary, ranks, id_col, text_col, length, end).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = cut.filter(F.col("length") == length).select("id", "piece", "start", "length", "ids_crc32", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = cut.filter(F.col("length") < length)
     groups = max(1, -(-part.count() // group))

@@ -4,6 +4,7 @@ intermediate tables, word boundaries and names that cannot clash."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -51,6 +52,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows of whole texts that a task holds at once on their way to Python, and the
+#: settings that say so. Spark's own, 10,000 and 4096, keep some 33 MB of documents of
+#: 3.3 KB in each of several buffers, which grow by doubling outside the heap.
+BATCH_ROWS = 512
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is written inside takes at most `rows` rows a batch; a session's own
+    smaller settings stay, and all are as before afterwards. Batches say nothing
+    about results: no operator depends on where one ends."""
+    found = {name: spark.conf.get(name, None) for name in BATCHES}
+    try:
+        for name in BATCHES:
+            if not 0 < int(spark.conf.get(name)) <= rows:  # zero or less: no limit
+                spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name, before in found.items():
+            if before is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     _remove(df.sparkSession, df._written_to)

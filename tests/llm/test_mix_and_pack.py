@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -260,3 +261,29 @@ def test_added_tokens_get_their_ids(fast):
 
 def test_packing_an_empty_table(spark):
     assert P.pack_documents(docs(spark, []), *vocabulary()).count() == 0
+
+
+def test_texts_travel_in_small_batches(spark, monkeypatch):
+    from framelake.llm.shared import BATCH_ROWS, BATCHES, small_batches, written
+
+    n = 3 * BATCH_ROWS + 5
+    many = docs(spark, [{"doc_id": i, "text": f"text {i}"} for i in range(n)]).coalesce(1)
+    sizes = []
+
+    def watched(df, tag):
+        assert [int(spark.conf.get(b)) for b in BATCHES] == [BATCH_ROWS] * 2
+        seen = written(many.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"), "sizes")
+        sizes.extend(r.n for r in seen.collect())
+        return written(df, tag)
+
+    monkeypatch.setattr(P, "written", watched)
+    before = [spark.conf.get(b, None) for b in BATCHES]
+    assert P.pack_documents(many, *vocabulary()).count() == n
+    assert sum(sizes) == n and max(sizes) <= BATCH_ROWS
+    assert [spark.conf.get(b, None) for b in BATCHES] == before
+    spark.conf.set(BATCHES[0], "7")  # a session's own smaller setting stays, also after an error
+    with pytest.raises(KeyError), small_batches(spark):
+        assert [spark.conf.get(b) for b in BATCHES] == ["7", str(BATCH_ROWS)]
+        raise KeyError
+    assert spark.conf.get(BATCHES[0]) == "7"
+    spark.conf.unset(BATCHES[0])
