@@ -14,8 +14,8 @@ most TILE fingerprints. A tile is compared with itself where it is cut; tiles of
 one bucket that may hold links between them meet in a join of tiles, never of
 rows, on condition that their population counts come within the radius.
 
-Only a spanning forest of the links of a tile pair leaves a task: n - 1 links for
-n connected fingerprints, not n squared. Components follow by alternating
+Only a star of the links of a tile pair leaves a task: n - 1 links for n connected
+fingerprints, not n squared. Components follow by alternating
 large-star and small-star steps (Kiveris et al., 2014) over written tables.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, encoded, salt, salt_bit, salt_of, salts, written
+from .shared import discard, encoded, salt, salt_bit, salt_of, salts, small_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -98,7 +98,9 @@ def _signed(x: int) -> int:
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (from, to), of the pairs of a x b within the radius."""
+    """Links (from, to) that connect what the pairs of a x b within the radius connect:
+    from each fingerprint to the smallest that it is connected with, so that stars
+    have little to do afterwards."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -106,7 +108,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
             parent[x] = x = parent.get(p, p)
         return x
 
-    out: list[tuple[int, int]] = []
     step = max(1, (1 << 20) // max(len(b), 1))
     for at in range(0, len(a), step):
         near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius
@@ -119,8 +120,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
             p, q = root(x), root(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out.append((x, y))
-    pairs = np.array(out, dtype=np.uint64).reshape(-1, 2)
+    pairs = np.array([(x, root(x)) for x in list(parent)], dtype=np.uint64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
@@ -223,20 +223,28 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -
 # --- components -----------------------------------------------------------------
 
 
+def stars(e: DataFrame) -> bool:
+    """Whether links (u, v), v below u, are stars: no node has two links to smaller
+    ones, none has such a link and is another's smaller node. Each v is then the
+    smallest of its component, and a further round would change nothing."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (a, b): root is the smallest
     node of its component.
 
     Large-star gives every larger neighbour of a node its smallest neighbour,
-    small-star does so for smaller neighbours, until nothing changes. Both are a
+    small-star does so for smaller neighbours, until only stars are left. Both are a
     minimum per node, partially aggregated, and an equi-join; the centre of a star is
     one key of all its links there, so the minima are repeated by the links' salts
     and the links spread. No neighbour list is gathered.
     """
     big = lambda e: e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = written(big(edges).filter("u <> v").distinct(), "edges")
-    n, last = e.count(), None
-    while n:
+    while not stars(e):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Only links to larger nodes ask for a minimum: theirs are the salts that count.
         least = both.groupBy("u").agg(F.min("v").alias("v"), F.bit_or(F.when(F.col("v") > F.col("u"), salt_of("v")).otherwise(0)).alias("bits"))
@@ -251,10 +259,6 @@ def components(edges: DataFrame) -> DataFrame:
         e2 = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         e, done = written(e2.distinct(), "edges"), e
         discard(done)
-        state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == last:
-            break
-        last = state
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -273,10 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows share their fingerprint. An empty table gives an empty result. Other
     columns are not read.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle, uid), "prints")
+    with small_batches(docs.sparkSession):
+        rows = written(fingerprints(docs, id_col, text_col, shingle, uid), "prints")
     best = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
     distinct = written(rows.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n"), salt_bit("uid").alias("copies")), "distinct")
-    found = components(links(distinct.select("fp"), distinct.count(), radius, tile))
+    with small_batches(docs.sparkSession):  # a pair of tiles is 32 KB
+        found = components(links(distinct.select("fp"), distinct.count(), radius, tile))
     members = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n", "copies")
     members = written(members, "members")
     # A component of many fingerprints is one key of them all: what is settled for it

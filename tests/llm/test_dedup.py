@@ -132,6 +132,51 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got[-5] == got[-9] == -9
 
 
+def test_tile_links_are_stars():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base[rng.integers(0, 12, 300)] ^ (np.uint64(1) << rng.integers(0, 10, 300, dtype=np.uint64))]))
+    for a, b, same in ((fps, fps, True), (fps[::2], fps[1::2], False)):
+        both = a.tolist() if same else [*a.tolist(), *b.tolist()]
+        pairs = [(i, j) for i, x in enumerate(both) for j, y in enumerate(both) if i < j and (x ^ y).bit_count() <= 3 and (same or (i < len(a)) != (j < len(a)))]
+        groups = defaultdict(list)
+        for x, c in zip(both, components(len(both), pairs), strict=True):
+            groups[c].append(x)
+        u, v = S.tile_links(a, b, 3, same)
+        assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted((x, min(g)) for g in groups.values() for x in g if x != min(g))
+
+
+def test_stars_are_known(spark):
+    known = lambda links: S.stars(spark.createDataFrame(links, "u long, v long"))
+    assert known([]) and known([(2, 1)]) and known([(5, 1), (4, 1), (9, 7)])
+    assert not known([(3, 2), (2, 1)])  # a chain
+    assert not known([(3, 2), (3, 1)])  # two smaller nodes
+
+
+def test_components_of_stars_are_written_once(spark, monkeypatch):
+    tags = []
+    monkeypatch.setattr(S, "written", lambda df, tag, f=S.written: tags.append(tag) or f(df, tag))
+    edges = [(k, 100) for k in range(101, 140)] + [(k, 100) for k in range(120, 160)] + [(8, 7)]
+    got = {r.node: r.root for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 100 for k in range(100, 160)} | {7: 7, 8: 7}
+    assert tags == ["edges"]
+
+
+def test_near_duplicates_take_small_batches(spark, monkeypatch):
+    from framelake.llm.shared import BATCH_ROWS, BATCHES
+
+    rows_at = {}
+
+    def watched(df, tag, f=S.written):
+        rows_at.setdefault(tag, [int(spark.conf.get(b)) for b in BATCHES])
+        return f(df, tag)
+
+    monkeypatch.setattr(S, "written", watched)
+    assert S.near_duplicates(docs(spark)).count() == len(rows())
+    assert rows_at["prints"] == rows_at["tiles"] == rows_at["edges"] == [BATCH_ROWS] * 2
+    assert all(spark.conf.get(b, None) is None for b in BATCHES)
+
+
 def test_places_do_not_follow_the_splits(spark, small):
     from framelake.llm.shared import place, table
 
